@@ -22,7 +22,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_REPEATS = 2
 SEED = "mix"
-ROWS_PER_CELL = 20_000
+ROWS_PER_CELL = 4_000
 #: Service ends at this virtual time; sources send their target by time 1.
 HORIZON = 4.0
 

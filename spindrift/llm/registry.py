@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import op3_lines, op4_quality, op5_mixing, op6_sharding, op9_packing, op10_winnowing
+from spindrift.llm import op2_embeddings, op3_lines, op4_quality, op5_mixing, op6_sharding, op8_jaccard, op9_packing, op10_winnowing
 from spindrift.llm.common import documents
 
 N_SHARDS = 8
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_embeddings.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op3_lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -38,6 +42,10 @@ def op6_sharding_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_jaccard.similar(documents(spark, sf_dir), words=3, threshold=(90, 100))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -49,7 +57,7 @@ def op10_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_line_dedup, op4_quality_classifier, op5_source_mixing, op6_sharding_bytes, op9_best_fit_packing, op10_winnowing_fingerprints)
+    for f in (op2_embedding_near_dedup, op3_line_dedup, op4_quality_classifier, op5_source_mixing, op6_sharding_bytes, op8_ngram_jaccard_join, op9_best_fit_packing, op10_winnowing_fingerprints)
 }
 
 #: A-Z to a-z alone, as the contracts say; lower() would change other letters.
@@ -116,4 +124,26 @@ SELECT doc_id, size::BIGINT AS size, source_size, round(target, 4) AS target, (s
 FROM cut GROUP BY doc_id, key, tie, size, source_size, target, start
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _OP3, "op5_source_mixing": _OP5}
+_OP8 = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^ \\x09-\\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE
+    list_distinct(list_transform(range(1, greatest(len(words) - 2, 1) + 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS shingles
+  FROM split
+), tokens AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.shingle = b.shingle
+  WHERE a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, len(any_value(shingles)) AS n_shingles, min(other) AS component_id
+FROM sets s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_ngram_jaccard_join": _OP8, "op3_line_dedup": _OP3, "op5_source_mixing": _OP5}
