@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import op2_embeddings, op3_lines, op4_quality, op5_mixing, op6_sharding, op8_jaccard, op9_packing, op10_winnowing
+from spindrift.llm import op1_substrings, op2_embeddings, op3_lines, op4_quality, op5_mixing, op6_sharding, op8_jaccard, op9_packing, op10_winnowing
 from spindrift.llm.common import documents
 
 N_SHARDS = 8
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op1_substrings.dedup_substrings(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_embeddings.near_duplicates(documents(spark, sf_dir, "embeddings"))
 
@@ -57,7 +62,7 @@ def op10_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_embedding_near_dedup, op3_line_dedup, op4_quality_classifier, op5_source_mixing, op6_sharding_bytes, op8_ngram_jaccard_join, op9_best_fit_packing, op10_winnowing_fingerprints)
+    for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_line_dedup, op4_quality_classifier, op5_source_mixing, op6_sharding_bytes, op8_ngram_jaccard_join, op9_best_fit_packing, op10_winnowing_fingerprints)
 }
 
 #: A-Z to a-z alone, as the contracts say; lower() would change other letters.
@@ -146,4 +151,25 @@ SELECT s.doc_id, len(any_value(shingles)) AS n_shingles, min(other) AS component
 FROM sets s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_ngram_jaccard_join": _OP8, "op3_line_dedup": _OP3, "op5_source_mixing": _OP5}
+_OP1 = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM split WHERE len(words) >= 20
+), named AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS seq FROM windows
+), later AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) > 1 AS again FROM named
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later WHERE again
+), words AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split
+), kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text, count(*) AS n
+  FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+)
+SELECT s.doc_id, len(words) AS n_words, len(words) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op8_ngram_jaccard_join": _OP8, "op3_line_dedup": _OP3, "op5_source_mixing": _OP5}
