@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import op1_substrings, op2_embeddings, op3_lines, op4_quality, op5_mixing, op6_sharding, op8_jaccard, op9_packing, op10_winnowing
+from spindrift.llm import op1_substrings, op2_embeddings, op3_lines, op4_quality, op5_mixing, op6_sharding, op7_html, op8_jaccard, op9_packing, op10_winnowing
 from spindrift.llm.common import documents
 
 N_SHARDS = 8
@@ -47,6 +47,12 @@ def op6_sharding_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents(spark, sf_dir, "pages")
+    weights = op7_html.fit_weights(op7_html.labelled_pages(pages, documents(spark, sf_dir)))
+    return op7_html.extract(pages.select("page_id", "url", "html"), weights).select("page_id", "url", "text", "n_chars")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_jaccard.similar(documents(spark, sf_dir), words=3, threshold=(90, 100))
 
@@ -62,7 +68,7 @@ def op10_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_line_dedup, op4_quality_classifier, op5_source_mixing, op6_sharding_bytes, op8_ngram_jaccard_join, op9_best_fit_packing, op10_winnowing_fingerprints)
+    for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_line_dedup, op4_quality_classifier, op5_source_mixing, op6_sharding_bytes, op7_html_extraction, op8_ngram_jaccard_join, op9_best_fit_packing, op10_winnowing_fingerprints)
 }
 
 #: A-Z to a-z alone, as the contracts say; lower() would change other letters.
