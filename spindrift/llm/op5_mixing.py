@@ -73,7 +73,7 @@ def mix(
     """How often each document is taken.
 
     Returns ``doc_id``, ``source``, ``size``, ``source_size``, ``target``,
-    ``repeats``, ``taken``; one row for each input row.  Null or empty text has
+    ``repeats``, ``taken``, ``tie`` (MD5 of the text); one row for each input row.  Null or empty text has
     size 0 and is never taken.  A null source is a source of its own.  Rows with
     the same id are separate documents, ordered by text among themselves.  No
     rows in, none out.  Other columns are ignored.
@@ -115,4 +115,16 @@ def mix(
     )
     return taken.groupBy("doc_id", "source", "key", "tie", "size", "source_size", "target", "cell", "nth").agg(
         F.sum(F.col("in").cast("long")).alias("repeats")
-    ).select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    ).select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"), "tie")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix takes them: a row as often as it is taken.
+
+    Takes the options of :func:`mix`.  Columns are unchanged.
+    """
+    tie = F.md5(F.coalesce("text", F.lit("")))
+    often = mix(docs, **how).where("repeats > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie")).agg(F.sum("repeats").cast("int").alias("__repeats"))
+    keyed = docs.withColumn("__key", tie).dropDuplicates(["doc_id", "source", "__key"])
+    same = (keyed["doc_id"].eqNullSafe(often["__id"])) & (keyed["source"].eqNullSafe(often["__source"])) & (keyed["__key"] == often["__tie"])
+    return keyed.join(often, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
