@@ -12,12 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.llm.common import written
+
 #: Buckets of n-grams: the length of every vector, whatever the corpus.
 BITS = 16
 #: Byte n-grams by order, and marks of character classes.
@@ -90,20 +91,39 @@ class Model:
         return float(1 / (1 + np.exp(-z)))
 
 
-def class_counts(train: DataFrame) -> DataFrame:
-    """``y``, ``bucket``, ``n``: rows of each class that hold the indicator, over
-    all rows.  At most ``2 * 2**BITS`` rows for each task are shuffled."""
+def class_counts_and_sample(train: DataFrame, max_fit_rows: int) -> DataFrame:
+    """``y``, ``bucket``, ``n``, ``bits`` in one pass over the training texts.
+
+    Rows with a ``bucket`` count the rows of a class, in one task, that hold the
+    indicator; all training rows are counted.  Rows with ``bits`` are the sample:
+    those of each class that come first by an MD5 of ``doc_id``, as bitmaps.
+    """
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    first = F.lit(False)
+    for label in (0, 1):  # ids alone are read for the place where the sample ends
+        last = train.where(F.col("y") == label).select(key.alias("key")).orderBy("key").limit(max_fit_rows).agg(F.max("key")).first()[0]
+        first = F.when(F.col("y") == label, key <= F.lit(last or "")).otherwise(first)
+    names = ["y", "bucket", "n", "bits"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, (1 << BITS) + 1), np.int64)
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n[y, features(text)] += 1
+            ys, bits = [], []
+            for y, text, picked in zip(*(c.to_pylist() for c in batch.columns)):
+                at = features(text)
+                n[y, at] += 1
                 n[y, -1] += 1  # the class itself
+                if picked:
+                    row = np.zeros(1 << BITS, bool)
+                    row[at] = True
+                    ys.append(y)
+                    bits.append(np.packbits(row).tobytes())
+            if ys:
+                yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.nulls(len(ys), pa.int32()), pa.nulls(len(ys), pa.int64()), pa.array(bits, pa.binary())], names)
         y, bucket = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(bucket, pa.int32()), pa.array(n[y, bucket], pa.int64())], ["y", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(bucket, pa.int32()), pa.array(n[y, bucket], pa.int64()), pa.nulls(len(y), pa.binary())], names)
 
-    return train.select("y", "text").mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n"))
+    return train.select("y", "text", first.alias("picked")).mapInArrow(run, "y int, bucket int, n long, bits binary")
 
 
 def dual_coordinate_descent(
@@ -160,7 +180,9 @@ def fit(train: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     train = train.where(F.col("y").isin(0, 1)).select(F.col("y").cast("int").alias("y"), "text", "doc_id")
     size = 1 << BITS
     counts = np.zeros((2, size + 1))
-    for r in class_counts(train).toLocalIterator():  # at most 2 * (2**BITS + 1) rows
+    seen = written(class_counts_and_sample(train, max_fit_rows), "training")
+    sums = seen.where("bucket is not null").groupBy("y", "bucket").agg(F.sum("n").alias("n"))
+    for r in sums.toLocalIterator():  # at most 2 * (2**BITS + 1) rows
         counts[r["y"], r["bucket"]] = r["n"]
     totals = counts[:, -1]
     if not totals.all():
@@ -169,21 +191,10 @@ def fit(train: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     smoothed = (counts[:, :-1] + SMOOTHING) / (totals[:, None] + 2 * SMOOTHING)
     ratios = np.log(smoothed[1] / smoothed[0])
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y, packed = [], []
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bits = np.zeros(size, bool)
-                bits[features(text)] = True
-                y.append(label)
-                packed.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(packed, pa.binary())], ["y", "bits"])
-
     # At most 2 * max_fit_rows bitmaps of 2**BITS bits come to the driver.
     rows, y = [], []
     for label in (0, 1):
-        some = train.where(F.col("y") == label).orderBy(F.md5(F.col("doc_id").cast("string")), F.md5("text")).limit(max_fit_rows)
-        for r in some.select("y", "text").mapInArrow(pick, "y int, bits binary").toLocalIterator():
+        for r in seen.where(F.col("bits").isNotNull() & (F.col("y") == label)).select("bits").orderBy(F.md5("bits")).limit(max_fit_rows).toLocalIterator():
             rows.append(np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))).astype(np.int32))
             y.append(label)
     y = np.array(y)
