@@ -24,11 +24,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     It cuts the lineage with files that outlive any executor, so a lost one
-    costs only the tasks it was running.
+    costs only the tasks it was running.  The driver's garbage is then collected:
+    Spark drops shuffle files when what refers to them is gone, and an operator of
+    many steps would otherwise keep those of all its steps on disk.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

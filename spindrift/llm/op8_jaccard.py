@@ -3,7 +3,8 @@
 A document is a set of word shingles (tokens).  Tokens have one order for the
 whole corpus: rare ones first, frequent ones last, by hash within each class.
 Two sets of Jaccard similarity t or more share at least ``c`` tokens among the
-first ``n - ceil(t * n) + c`` of each.  Either one of those is rare, and is
+first ``n - ceil(t * n) + c`` of each (one, for c = 1, where that is enough: where
+the first tokens are all rare).  Either one of those is rare, and is
 indexed by itself; or all are frequent, and as frequent tokens are dealt to
 ``c - 1`` groups, two of one group are shared: a pair, indexed as a combination.
 Very small sets are indexed by their subsets of the size that they must share.
@@ -70,9 +71,9 @@ def frequent_tokens(docs: DataFrame, k: int, n_docs: int) -> DataFrame:
     return sums.where(F.col("n") >= max(2, share * n_docs / 2)).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which a set is listed, and the place of each in its order (-1
-    for combinations)."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, bool]:
+    """Keys under which a set is listed; how many of them, at the front, are
+    single rare tokens, in order; and whether those are all its rare tokens."""
     n, c = len(tokens), GROUPS + 1
     need = -(-n * num // den)  # tokens any partner must share
     often = np.zeros(n, bool)
@@ -80,10 +81,12 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) ->
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
     ordered = np.concatenate([tokens[~often], tokens[often]])
-    n_rare = n - int(often.sum())
-    length = min(n, n - need + c)
+    n_rare = n - int(often.sum())  # those come first
+    length = n - need + 1
+    if n_rare < length:  # a shared token may be a frequent one
+        length = min(n, n - need + c)
     singles = ordered[: min(length, n_rare)]
-    keys, places = [singles], [np.arange(len(singles), dtype=np.int32)]
+    keys = [singles]
     tail = ordered[n_rare:length].view(np.uint64)
     groups = mixed(tail) % np.uint64(GROUPS)
     for g in range(GROUPS):
@@ -96,12 +99,12 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) ->
         for s in range(need, min(n, c) + 1):
             subsets = [xxhash.xxh3_64_intdigest(np.array(x).tobytes()) for x in combinations(whole.tolist(), s)]
             keys.append(np.array(subsets, np.uint64).view(np.int64))
-    keys = np.concatenate(keys)
-    return keys, np.concatenate([places[0], np.full(len(keys) - len(places[0]), -1, np.int32)])
+    return np.concatenate(keys), len(singles), len(singles) == n_rare
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int, n_docs: int) -> DataFrame:
-    """``doc_id``, ``n`` (set size), ``same`` (digest of the set), ``keys``, ``places``."""
+    """``doc_id``, ``n`` (set size), ``same`` (digest of the set), and what
+    :func:`index_keys` gives: ``keys``, ``singles``, ``whole``."""
     frequent = np.sort(np.array([r["token"] for r in frequent_tokens(docs, k, n_docs).select("token").collect()], np.int64))  # at most FREQUENT_MOST
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -110,21 +113,46 @@ def profiles(docs: DataFrame, k: int, num: int, den: int, n_docs: int) -> DataFr
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                n, same, keys, places = [], [], [], []
+                n, same, keys, singles, all_rare = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     tokens = shingle_set(text, k, hashes)
                     n.append(len(tokens))
                     same.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                    a, b = index_keys(tokens, often, num, den) if len(tokens) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+                    a, b, c = index_keys(tokens, often, num, den) if len(tokens) else (tokens, 0, True)
                     keys.append(a)
-                    places.append(b)
+                    singles.append(b)
+                    all_rare.append(c)
                 cuts = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()),
-                    pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys))), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(places))),
-                ], ["doc_id", "n", "same", "keys", "places"])
+                    pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys))), pa.array(singles, pa.int32()), pa.array(all_rare, pa.bool_()),
+                ], ["doc_id", "n", "same", "keys", "singles", "whole"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, same binary, keys array<long>, places array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, same binary, keys array<long>, singles int, whole boolean")
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a``, ``b`` that their indexed rare tokens don't rule out.
+
+    Up to the point to which both sets are listed, shared tokens are known; beyond
+    it at most the smaller rest is shared.  No pair of the similarity is lost.
+    """
+
+    def run(batches):
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            good = []
+            for n, m, x, y, all_x, all_y in zip(*(columns[c].to_pylist() for c in ("n_a", "n_b", "keys_a", "keys_b", "whole_a", "whole_b"))):
+                x, y = np.array(x, np.int64), np.array(y, np.int64)
+                # Rare tokens come in order of their number.
+                end = min(2**63 - 1 if all_x else x[-1], 2**63 - 1 if all_y else y[-1])
+                x, y = x[x <= end], y[y <= end]
+                both = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
+                good.append((num + den) * both >= num * (n + m))
+            yield pa.RecordBatch.from_arrays([columns["a"], columns["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.slice("keys", F.lit(1), F.col("singles")).alias(f"keys_{x}"), F.col("whole").alias(f"whole_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -149,9 +177,10 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 good.append(den * both >= num * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    # The second join leaves the pairs dealt by b; a's set is remembered for a while.
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    asked = written(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    one = asked.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = asked.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long")
 
@@ -172,28 +201,28 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = TH
     known = written(profiles(base, words, num, den, base.count()), "profiles")
     sets = known.where("n > 0 and doc_id is not null")
     rep = sets.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    listed = sets.join(rep.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    entries = listed.select("doc_id", "n", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", "n", F.col("x.keys").alias("token"), F.col("x.places").alias("place"))
+    listed = written(sets.join(rep.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).drop("same"), "sets")
+    entries = listed.select("doc_id", "n", "singles", F.posexplode("keys").alias("place", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
-    lists = written(entries.join(shared, "token"), "lists")
+    lists = entries.select("doc_id", "n", "token", F.when(F.col("place") < F.col("singles"), F.col("place")).otherwise(-1).alias("place"))
+    lists = written(lists.join(shared, "token"), "lists")
 
     # Sizes must allow the similarity, and so must what is left of each set
     # behind a single token: every linked pair passes at its first shared one.
     fits = f"""a.doc_id <> b.doc_id and {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)
         and (a.place < 0 or b.place < 0 or {num + den} * least(a.n - a.place, b.n - b.place) >= {num} * (a.n + b.n))"""
     ends = [F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")]
+    linked = lambda pairs: verified(written(plausible(pairs, listed, num, den), "plausible"), base, words, num, den)
     first = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n", "place")).alias("f")).select("token", "f.*")
     round1 = written(first.alias("a").join(lists.alias("b"), "token").where(fits).select(*ends).distinct(), "pairs")
-    asked = lists.select("doc_id").distinct()
-    texts = written(base.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = written(verified(round1, texts, words, num, den), "links")
+    links = written(linked(round1), "links")
 
     part = connected_components(links, "a", "b").toDF("doc_id", "part")
     placed = lists.join(part, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     mixed_lists = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    placed = placed.join(mixed_lists, "token")
+    placed = written(placed.join(mixed_lists, "token"), "mixed")
     round2 = placed.alias("a").join(placed.alias("b"), "token").where("a.part < b.part").where(fits).select(*ends).distinct()
-    more = written(verified(round2.join(round1, ["a", "b"], "left_anti"), texts, words, num, den), "links")
+    more = written(linked(round2.join(round1, ["a", "b"], "left_anti")), "links")
 
     parts = connected_components(links.union(more), "a", "b").toDF("rep", "component")
     return known.select("doc_id", "n", "same").join(rep, "same", "left").join(parts, "rep", "left").select(
