@@ -10,10 +10,12 @@ counts and look their place up in the plan, so no task sees a whole length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,17 +30,24 @@ END_ID = 0
 ROWS_PER_CELL = 20_000
 #: Fillings tried around one largest piece before the best so far is taken.
 SEARCH_STEPS = 2_000
-#: Words remembered by a task; the memory it takes is bounded by this.
-WORDS_KEPT = 600_000
+#: Words remembered by a Python worker; the memory it takes is bounded by this.
+WORDS_KEPT = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: The vocabulary never joins letters with punctuation, so these parts can be
+#: encoded apart.  An apostrophe may belong to the letters after it.
+_ENDS = re.compile(rb"([a-z]+)([.,!?;:#$%&*]+)")
+
+
 class _Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and no token spans it, so a text's ids are
-    its words' ids in a row; a word is encoded once and remembered.
+    The vocabulary lower-cases, drops white space, and no token spans it, so a
+    text's ids are its words' ids in a row; words are encoded once and
+    remembered while there is room.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,20 +55,34 @@ class _Encoder:
 
         self.tokenizer, self.words = Tokenizer.from_file(path), {}
 
+    def _encode(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
+                into[w] = np.array(e.ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8").split() for t in texts]
+        # A special token's name in capitals is no special token: left as it is.
+        split = [(raw if b"<|" in raw else raw.translate(_LOWER)).split() for raw in (t.encode("utf-8") for t in texts)]
         known = self.words
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        new = {w for words in split for w in words if w not in known}
+        ends = {w: m.groups() for w in new if (m := _ENDS.fullmatch(w))}
+        whole = {w for w in new if w not in ends} | {x for pair in ends.values() for x in pair if x not in known}
+        if len(known) + len(new) + len(whole) > WORDS_KEPT:  # full: these are remembered for this batch only
+            known = {w: known[w] for words in split for w in words if w in known} | {x: known[x] for pair in ends.values() for x in pair if x in known}
+        self._encode(list(whole), known)
+        for w, (a, b) in ends.items():
+            known[w] = known[a] + known[b]
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> _Encoder:
+    """One for each Python worker: later tasks find its words remembered."""
+    return _Encoder(path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of each piece.
 
@@ -68,7 +91,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _Encoder(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
