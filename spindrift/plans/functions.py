@@ -14,7 +14,7 @@ def _t(spark, sf_dir, name):
 
 
 @query("""
-WITH b AS (SELECT o_orderkey AS id, list(l_linenumber::BIGINT ORDER BY l_linenumber) AS xs, list(l_quantity::BIGINT ORDER BY l_linenumber) AS qs
+WITH b AS (SELECT o_orderkey AS id, list(l_linenumber::BIGINT ORDER BY l_linenumber) AS xs, list(l_quantity::BIGINT ORDER BY l_linenumber, l_quantity) AS qs
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
 SELECT id, list_sum(qs)::DOUBLE AS total, round(list_avg(qs), 6) AS mean, list_min(qs) AS low, list_max(qs) AS high, list_sort(qs) AS sorted, list_reverse(xs) AS reversed,
   list_contains(qs, 10) AS has_ten, len(list_distinct(qs)) < len(qs) AS repeats, list_sort(list_distinct(list_concat(xs, qs))) AS either, list_sort(list_intersect(xs, qs)) AS both,
