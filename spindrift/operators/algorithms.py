@@ -152,10 +152,10 @@ def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 10) -> DataFrame:
         best = gain.groupBy("id").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "community")).alias("b"), stay.alias("stay"), F.first("own").alias("own"), F.first("k").alias("k"), F.first("total").alias("t"))
         own_total = total.select(F.col("community").alias("own"), F.col("total").alias("own_total"))
         best = best.join(own_total, "own").withColumn("stay", F.coalesce("stay", -F.col("k") * (F.col("own_total") - F.col("k")) / m2))
-        move = best.where((-F.col("b.g") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0)).select("id", F.col("b.community").alias("to"))
-        move = settled(move, "moves")
-        if i > 1 and move.isEmpty():
+        willing = settled(best.where(-F.col("b.g") > F.col("stay") + 1e-9).select("id", F.col("b.community").alias("to")), "moves")
+        if willing.isEmpty():
             break
+        move = willing.where(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0)
         part = settled(part.join(move, "id", "left").select("id", F.coalesce("to", "community").alias("community")), "parts")
     return part
 
