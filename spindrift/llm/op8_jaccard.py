@@ -13,6 +13,12 @@ Candidates of a list are verified in two rounds on the whole texts: each
 document with the first of its list, then only those pairs of a list that the
 links so far have not connected.  A list of many near copies thus makes as many
 pairs as it has documents.  Copies of a set are one document throughout.
+
+The second round pairs all of a list only if it is short.  In a long one each
+document is described by what differs between it and the first, r.  If two
+linked documents differ from r in nothing shared, both link with r, by the sizes
+of the differences; else their differences overlap by a known least number of
+tokens, and a prefix of each difference, tokens that r lacks first, is listed.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ FREQUENT_MOST = 1 << 20
 #: Tokens counted together before what is common among them is passed on.
 CHUNK = 3_000_000
 GROUPS = 4
+#: Lists up to this length are paired whole in the second round.
+SHORT = 32
 
 
 def frequent_tokens(docs: DataFrame, k: int, n_docs: int) -> DataFrame:
@@ -76,10 +84,7 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) ->
     single rare tokens, in order; and whether those are all its rare tokens."""
     n, c = len(tokens), GROUPS + 1
     need = -(-n * num // den)  # tokens any partner must share
-    often = np.zeros(n, bool)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
+    often = _among(tokens, frequent)
     ordered = np.concatenate([tokens[~often], tokens[often]])
     n_rare = n - int(often.sum())  # those come first
     length = n - need + 1
@@ -102,11 +107,17 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) ->
     return np.concatenate(keys), len(singles), len(singles) == n_rare
 
 
-def profiles(docs: DataFrame, k: int, num: int, den: int, n_docs: int) -> DataFrame:
+def _among(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which tokens are in the sorted ``frequent``."""
+    if not len(frequent):
+        return np.zeros(len(tokens), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+
+
+def profiles(docs: DataFrame, shared, k: int, num: int, den: int) -> DataFrame:
     """``doc_id``, ``n`` (set size), ``same`` (digest of the set), and what
-    :func:`index_keys` gives: ``keys``, ``singles``, ``whole``."""
-    frequent = np.sort(np.array([r["token"] for r in frequent_tokens(docs, k, n_docs).select("token").collect()], np.int64))  # at most FREQUENT_MOST
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    :func:`index_keys` gives: ``keys``, ``singles``, ``whole``.  ``shared`` is the
+    broadcast array of frequent tokens."""
 
     def run(batches):
         hashes, often = WordHashes(), shared.value
@@ -177,12 +188,60 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 good.append(den * both >= num * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     asked = written(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     one = asked.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = asked.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+
+
+def difference_keys(x: np.ndarray, r: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
+    """Size of the difference of sets ``x`` and ``r``, and the prefix of it, in
+    the order of ``r``'s lists, that any partner of ``x`` outside ``r``'s links
+    must meet.
+
+    Sets of sizes n and m link if they differ in at most (den - num) / (den + num) *
+    (n + m) tokens, and m is at most n * den / num; so a partner's difference has
+    all but that many of ``x``'s.
+    """
+    more, less = np.setdiff1d(x, r, assume_unique=True), np.setdiff1d(r, x, assume_unique=True)
+    often = _among(more, frequent)
+    ordered = np.concatenate([more[~often], more[often], less])
+    apart = (den - num) * len(x) // num  # (den - num) / (den + num) * (n + n * den / num)
+    return len(ordered), ordered[: apart + 1]
+
+
+def compared(pairs: DataFrame, texts: DataFrame, shared, k: int, num: int, den: int) -> DataFrame:
+    """``a``, ``b``, ``n`` (size of ``a``'s set), ``linked``, ``d``, ``keys`` of each
+    pair: whether ``a`` links with ``b``, and what :func:`difference_keys` gives."""
+
+    def run(batches):
+        hashes, sets, often = WordHashes(), {}, shared.value
+        for batch in batches:
+            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            n, linked, ds, keys = [], [], [], []
+            for q, x, y in zip(b, ta, tb):
+                if q not in sets:
+                    if len(sets) >= 64:
+                        sets.clear()
+                    sets[q] = shingle_set(y, k, hashes)
+                u, r = shingle_set(x, k, hashes), sets[q]
+                d, some = difference_keys(u, r, often, num, den)
+                n.append(len(u))
+                linked.append((den + num) * d <= (den - num) * (len(u) + len(r)))
+                ds.append(d)
+                keys.append(some)
+            cuts = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(ds, pa.int64()),
+                pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))),
+            ], ["a", "b", "n", "linked", "d", "keys"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, n long, linked boolean, d long, keys array<long>")
 
 
 def similar(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -198,31 +257,52 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = TH
     """
     num, den = threshold
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = written(profiles(base, words, num, den, base.count()), "profiles")
+    frequent = np.sort(np.array([r["token"] for r in frequent_tokens(base, words, base.count()).select("token").collect()], np.int64))  # at most FREQUENT_MOST
+    often = base.sparkSession.sparkContext.broadcast(frequent)
+    known = written(profiles(base, often, words, num, den), "profiles")
     sets = known.where("n > 0 and doc_id is not null")
     rep = sets.groupBy("same").agg(F.min("doc_id").alias("rep"))
     listed = written(sets.join(rep.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).drop("same"), "sets")
     entries = listed.select("doc_id", "n", "singles", F.posexplode("keys").alias("place", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
+    shared = entries.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     lists = entries.select("doc_id", "n", "token", F.when(F.col("place") < F.col("singles"), F.col("place")).otherwise(-1).alias("place"))
-    lists = written(lists.join(shared, "token"), "lists")
+    lists = written(lists.join(shared, "token").withColumn("long", F.col("held") > SHORT).drop("held"), "lists")
 
     # Sizes must allow the similarity, and so must what is left of each set
     # behind a single token: every linked pair passes at its first shared one.
-    fits = f"""a.doc_id <> b.doc_id and {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)
+    sizes = f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
+    fits = f"""a.doc_id <> b.doc_id and {sizes}
         and (a.place < 0 or b.place < 0 or {num + den} * least(a.n - a.place, b.n - b.place) >= {num} * (a.n + b.n))"""
     ends = [F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")]
     linked = lambda pairs: verified(written(plausible(pairs, listed, num, den), "plausible"), base, words, num, den)
     first = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n", "place")).alias("f")).select("token", "f.*")
-    round1 = written(first.alias("a").join(lists.alias("b"), "token").where(fits).select(*ends).distinct(), "pairs")
-    links = written(linked(round1), "links")
-
-    part = connected_components(links, "a", "b").toDF("doc_id", "part")
-    placed = lists.join(part, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    mixed_lists = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    placed = written(placed.join(mixed_lists, "token"), "mixed")
-    round2 = placed.alias("a").join(placed.alias("b"), "token").where("a.part < b.part").where(fits).select(*ends).distinct()
-    more = written(linked(round2.join(round1, ["a", "b"], "left_anti")), "links")
+    with_first = first.alias("a").join(lists.alias("b"), "token")
+    round1 = written(with_first.where("not long").where(fits).select(*ends).distinct(), "pairs")
+    # Of a long list all are compared with the first, to be described by it.
+    versus = written(with_first.where("long and a.doc_id <> b.doc_id").select(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).distinct(), "versus")
+    found = written(compared(versus, base, often, words, num, den), "compared")
+    met = found.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = written(linked(round1).union(met).distinct(), "links")
+
+    part = written(connected_components(links, "a", "b").toDF("doc_id", "part"), "parts")
+
+    def between(held, keys):
+        """``held`` with parts, where rows of the same keys are in several."""
+        placed = held.join(part, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        several = placed.groupBy(*keys).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*keys)
+        return written(placed.join(several, keys), "mixed")
+
+    placed = between(lists.where("not long").select("token", "doc_id", "n", "place"), ["token"])
+    short = placed.alias("a").join(placed.alias("b"), "token").where("a.part < b.part").where(fits).select(*ends).distinct()
+    # Where all link with one document, as in most groups of near copies, nothing is left to find.
+    described = between(found.select(F.col("a").alias("doc_id"), "b", "n", "d", "keys"), ["b"])
+    differing = described.select("doc_id", "part", "b", "n", "d", F.posexplode("keys").alias("place", "token"))
+    several = differing.groupBy("b", "token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("b", "token")
+    differing = written(differing.join(several, ["b", "token"]), "differing")
+    overlap = f"{sizes} and {2 * (den + num)} * least(a.d - a.place, b.d - b.place) >= {den + num} * (a.d + b.d) - {den - num} * (a.n + b.n)"
+    far = differing.alias("a").join(differing.alias("b"), ["b", "token"]).where("a.part < b.part").where(overlap).select(*ends).distinct()
+    done = round1.union(versus.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    more = written(linked(short.union(far).distinct().join(done, ["a", "b"], "left_anti")), "links")
 
     parts = connected_components(links.union(more), "a", "b").toDF("rep", "component")
     return known.select("doc_id", "n", "same").join(rep, "same", "left").join(parts, "rep", "left").select(
