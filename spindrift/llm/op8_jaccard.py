@@ -47,6 +47,8 @@ CHUNK = 3_000_000
 GROUPS = 4
 #: Lists up to this length are paired whole in the second round.
 SHORT = 32
+#: No token is beyond this.
+LAST = np.uint64(2**64 - 1)
 
 
 def frequent_tokens(docs: DataFrame, k: int, n_docs: int) -> DataFrame:
@@ -154,9 +156,9 @@ def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             columns = dict(zip(batch.schema.names, batch.columns))
             good = []
             for n, m, x, y, all_x, all_y in zip(*(columns[c].to_pylist() for c in ("n_a", "n_b", "keys_a", "keys_b", "whole_a", "whole_b"))):
-                x, y = np.array(x, np.int64), np.array(y, np.int64)
-                # Rare tokens come in order of their number.
-                end = min(2**63 - 1 if all_x else x[-1], 2**63 - 1 if all_y else y[-1])
+                # Rare tokens come in order of their unsigned number.
+                x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
+                end = min(LAST if all_x else x[-1], LAST if all_y else y[-1])
                 x, y = x[x <= end], y[y <= end]
                 both = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
                 good.append((num + den) * both >= num * (n + m))

@@ -239,6 +239,28 @@ def test_jaccard(spark, monkeypatch, short):
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(sets))} and len(set(want.values())) > 50
 
 
+def test_rare_prefixes_rule_no_link_out(spark):
+    rng = np.random.default_rng(7)
+    sets, pairs, often = [], [], []
+    for i in range(300):
+        # The smaller set is contained in the other, at the threshold; 1 to 3 prefix lengths of rare tokens.
+        big = np.unique(rng.integers(0, 2**64, 100, np.uint64))
+        keep = np.sort(rng.permutation(100)[:90])
+        common = rng.permutation(keep)[: 90 - rng.integers(1, 31)]
+        often.append(big[common])
+        sets += [(2 * i, big[keep]), (2 * i + 1, big)]
+        pairs.append((2 * i, 2 * i + 1))
+    often = np.sort(np.concatenate(often).view(np.int64))
+    rows = []
+    for i, x in sets:
+        keys, singles, whole = op8_jaccard.index_keys(x.view(np.int64), often, 90, 100)
+        rows.append((i, len(x), keys.tolist(), singles, whole))
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    known = spark.createDataFrame(rows, "doc_id long, n long, keys array<long>, singles int, whole boolean")
+    got = {tuple(r) for r in op8_jaccard.plausible(asked, known, 90, 100).collect()}
+    assert got == set(pairs) and len({r[4] for r in rows}) == 2
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
