@@ -146,11 +146,13 @@ def near_duplicates(
     with nothing, and is kept.  Ids are taken to be unique; repeated ids are
     given the same links.  An empty table has an empty result.  Other columns
     are ignored.  Links that are found are exact; those between vectors that
-    share fewer than ``min_shared`` pivots are missed.
+    share fewer than ``min_shared`` pivots (or all, if those are fewer) are missed.
     """
     spark = embeddings.sparkSession
     base = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
-    able = base.where("label is not null and embedding is not null and size(embedding) > 0 and vec_id is not null").dropDuplicates(["vec_id"])
+    # As _units has it; a null component makes the square null.
+    square = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
+    able = base.where("label is not null and vec_id is not null").where((square > 0) & (square < float("inf"))).dropDuplicates(["vec_id"])
     stats = able.agg(F.count("*").alias("n"), F.min(F.struct("vec_id", F.size("embedding").alias("dim")))["dim"].alias("dim")).first()
     nothing = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not stats["n"]:
@@ -188,7 +190,8 @@ def near_duplicates(
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "label", "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "leader", "n", "radius", "unit", "prefix")
     grouped = dealt.groupBy("label", "pivot", "i", "j")
-    compare = _compare(threshold, min_shared)
+    # With few pivots no pair can share more.
+    compare = _compare(threshold, min(min_shared, len(apart)))
 
     def guarded(key, rows):
         if len(rows) < 2 or key[2] not in set(rows["block"]) or key[3] not in set(rows["block"]):

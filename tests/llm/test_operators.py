@@ -118,6 +118,24 @@ def test_embeddings(spark):
     assert op2_embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_near_one_vector(spark):
+    side = math.sqrt(1 - 0.95**2)
+    near = [(1, [1.0, 0.0], "a"), (2, [0.95, side], "a")]
+    got = op2_embeddings.near_duplicates(spark.createDataFrame(near, "vec_id long, embedding array<double>, label string")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got} == {(1, 1, 1, True), (2, 1, 1, False)}
+
+
+def test_embeddings_mostly_invalid(spark):
+    # The valid rows come last in the order of the pivot sample; the least id has another length.
+    order = sorted(range(1, 301), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    bad = [[0.0, 0.0], [math.nan, 1.0], [math.inf, 1.0], [None, 1.0]]
+    rows = [(0, [0.0] * 5, "a")] + [(i, bad[i % 4], "a") for i in order[:-2]] + [(i, [2.0, 1.0], "a") for i in order[-2:]]
+    got = op2_embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    first, second = sorted(order[-2:])
+    assert len(got) == 301
+    assert {(r["vec_id"], r["component_id"], r["kept"]) for r in got if r["n_links"]} == {(first, first, True), (second, first, False)}
+
+
 def test_lines(spark):
     rnd = random.Random(3)
     common = [f"A Common line number {i} \t" for i in range(4)] + ["short", "é" * 19, "É" * 20]
