@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spindrift.llm import op1_substrings, op2_embeddings, op3_lines, op4_quality, op5_mixing, op6_sharding, op7_html, op8_jaccard, op9_packing, op10_winnowing, registry
 from spindrift.llm.components import connected_components
 from tests.duck import SF
@@ -257,6 +258,14 @@ def test_jaccard(spark, monkeypatch, short):
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(sets))} and len(set(want.values())) > 50
 
 
+def test_near_duplicates_of_the_pipeline_keep_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text), (3, "other"), (4, ""), (None, text), (None, text), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert Counter(got) == {1: 1, 3: 1, 4: 1, None: 3}
+
+
 def test_rare_prefixes_rule_no_link_out(spark):
     rng = np.random.default_rng(7)
     sets, pairs, often = [], [], []
