@@ -212,23 +212,26 @@ def conductance(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select(F.col("a").alias("community"), F.coalesce(F.try_divide("cut", F.least("ends", F.col("all_ends") - F.col("ends"))), F.lit(0.0)).alias("conductance"))
 
 
-def _levels(edges: DataFrame, sources: DataFrame, most: int) -> list[DataFrame]:
-    """Breadth first from each source: ``s``, ``id``, ``paths`` by level."""
+def _levels(edges: DataFrame, sources: DataFrame, most: int | None) -> list[DataFrame]:
+    """Breadth first from each source: ``s``, ``id``, ``paths`` by level, until a
+    level is empty; an error if there are more than ``most``."""
     level = settled(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "level")
     seen, out = level.select("s", "id"), [level]
-    for _ in range(most):
+    while True:
         step = level.join(edges, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
         level = settled(step.join(seen, ["s", "id"], "left_anti"), "level")
         if level.isEmpty():
-            break
+            return out
+        if most is not None and len(out) > most:
+            raise RuntimeError("shortest paths are longer than most_hops")
         out.append(level)
         seen = seen.union(level.select("s", "id"))
-    return out
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, most_hops: int = 64) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, most_hops: int | None = None) -> DataFrame:
     """``id``, ``score``: shortest outgoing paths through a node, scaled by
-    2 / ((n - 1)(n - 2)).  Dependencies flow back level by level."""
+    2 / ((n - 1)(n - 2)).  Dependencies flow back level by level.  Paths of any
+    length count; over ``most_hops``, if given, is an error."""
     e = settled(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     n = nodes.count()
     levels = _levels(e, nodes, most_hops)
@@ -249,9 +252,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most_hops: int = 64) -> Data
     return nodes.select("id").join(total.groupBy("id").agg(F.sum("d").alias("d")), "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("score"))
 
 
-def closeness(nodes: DataFrame, edges: DataFrame, most_hops: int = 64) -> DataFrame:
+def closeness(nodes: DataFrame, edges: DataFrame, most_hops: int | None = None) -> DataFrame:
     """``id``, ``score``: reached squared over total distance times n - 1,
-    edges taken both ways."""
+    edges taken both ways.  Paths of any length count; over ``most_hops``, if
+    given, is an error."""
     e = settled(_undirected(edges), "edges")
     n = nodes.count()
     far = None

@@ -84,6 +84,14 @@ def test_betweenness_of_a_path(spark):
     assert got[2] == got[3] > got[1] == got[4]
 
 
+def test_paths_over_a_bound_are_refused(spark):
+    nodes, chain = spark.createDataFrame([(i,) for i in range(4)], "id long"), spark.createDataFrame([(i, i + 1) for i in range(3)], "src long, dst long")
+    for f in (algorithms.betweenness, algorithms.closeness):
+        with pytest.raises(RuntimeError):
+            f(nodes, chain, 2)
+        assert f(nodes, chain, 3).count() == 4
+
+
 def test_weighted_paths_against_dijkstra(spark):
     edges = [("A", "B", 1.0), ("B", "C", 2.0), ("C", "D", 1.0), ("A", "E", 3.0), ("E", "F", 1.0), ("A", "C", 9.0)]
     df = spark.createDataFrame(edges, "src string, dst string, weight double")
