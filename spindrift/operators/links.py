@@ -1,8 +1,8 @@
 """Link prediction: scores of pairs that are not linked yet.
 
 Pairs come from two-hop joins over neighbours; a neighbour of very high degree
-gives pairs as the square of its degree, so ``most_degree`` can leave it to
-the caller which neighbours count.
+gives pairs as the square of its degree.  None is left out; ``sources`` bounds
+the pairs where only those of some nodes are asked for.
 """
 
 from __future__ import annotations
