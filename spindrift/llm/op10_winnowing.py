@@ -72,6 +72,28 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+def in_ranges(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """``docs`` with ``cell``: ranges of descending ``doc_id`` of about
+    ``rows_per_cell`` rows each, between approximate quantiles of the ids.
+
+    Null ids are one range below all others.
+    """
+    n = cells(docs.where("doc_id is not null").count(), rows_per_cell)
+    limits = []
+    if n > 1:
+        # The rank of a limit is wrong by a quarter of a range at most.
+        shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
+        limits = sorted(set(docs.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {max(10_000, 4 * n)})")).first()[0]))
+    # Limits not over the id, by binary search: at most 65535 are held.
+    cell = F.lit(len(limits))
+    if limits:
+        held = F.split(F.lit(",".join(map(str, limits))), ",").cast("array<long>")
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(limits).bit_length()))])
+        below = F.aggregate(steps, F.lit(0), lambda at, b: F.when((at + b <= len(limits)) & (F.try_element_at(held, at + b) <= F.col("doc_id")), at + b).otherwise(at))
+        cell = F.lit(len(limits)) - below
+    return docs.withColumn("cell", F.when(F.col("doc_id").isNull(), F.lit(len(limits) + 1)).otherwise(cell).cast("int"))
+
+
 def with_next(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """``docs`` with the document that follows each, in descending ``doc_id``.
 
@@ -82,13 +104,7 @@ def with_next(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     Rows that share an id follow each other in order of their text's MD5; null
     ids come last.
     """
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    n = cells(span["n"], rows_per_cell)
-    width = (hi - lo) // n + 1
-    # Null ids: one range below all others.
-    cell = F.coalesce(F.floor((F.lit(hi) - F.col("doc_id")) / F.lit(width)), F.lit(n)).cast("int")
-    docs = docs.withColumn("cell", cell).withColumn("tie", F.md5(F.coalesce("text", F.lit(""))))
+    docs = in_ranges(docs, rows_per_cell).withColumn("tie", F.md5(F.coalesce("text", F.lit(""))))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     # The first row of each range, as numbers only: at most 65537 rows.
     heads = docs.groupBy("cell").agg(F.min(F.struct((-F.col("doc_id")).alias("at"), "tie")).alias("head"))

@@ -346,6 +346,18 @@ def test_winnowing(spark):
     assert got[3]["fingerprint"] == got[35]["fingerprint"] and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got.values())
 
 
+def test_winnowing_ranges_hold_like_numbers_of_rows(spark):
+    ids = [*range(500), *range(10**9, 10**9 + 500), 10**15, -(10**15), None]
+    docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").repartition(4)
+    got = defaultdict(list)
+    for r in op10_winnowing.in_ranges(docs, 50).collect():
+        got[r["cell"]].append(r["doc_id"])
+    assert max(map(len, got.values())) <= 100 and len(got) >= 15
+    assert got.pop(max(got)) == [None]
+    order = [sorted(got[c], reverse=True) for c in sorted(got)]
+    assert sum(order, []) == sorted((i for i in ids if i is not None), reverse=True)
+
+
 def test_components(spark):
     rnd = random.Random(13)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)]
