@@ -2,37 +2,67 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, one machine).
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
-
 #: White space of the contracts: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Removes the shuffle files of a query when its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
+    Only a local session may go without: a folder of its own machine would be
+    another one on each machine of a cluster.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/checkpoints"
+    return found
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
 
-    It cuts the lineage with files that outlive any executor, so a lost one
-    costs only the tasks it was running.  The driver's garbage is then collected:
-    Spark drops shuffle files when what refers to them is gone, and an operator of
-    many steps would otherwise keep those of all its steps on disk.
+class Scratch:
+    """Tables that an operator writes between its steps to the shared folder.
+
+    A written table cuts the lineage with files that outlive any executor, so a
+    lost one costs only the tasks it was running.  A step's shuffle files go as
+    soon as its table is written, and :meth:`drop` empties tables that no later
+    step reads, so the disk holds a few steps and not all of them.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.paths = spark, checkpoint_dir(spark), {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written once and read back."""
+        path = self.paths[name] = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(self.paths.pop(name))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back."""
+    return Scratch(df.sparkSession).put(df, name)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

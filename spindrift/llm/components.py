@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import written
+from spindrift.llm.common import Scratch
 
 #: Far above the O(log^2 n) rounds that the method needs.
 MAX_ROUNDS = 60
@@ -19,8 +19,8 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step.  Minima are pre-aggregated map-side and joined back, so a
-    vertex with very many neighbours is never gathered in one task."""
+    """One star step.  Minima are pre-aggregated map-side and joined back, one row
+    a vertex, so the adaptive skew join can split the edges of a hub."""
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -42,10 +42,12 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     e = edges.select(
         F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).alias("a"), F.col(dst).alias("b")
     ).where("a is not null and b is not null and u <> v").select("u", "v").distinct()
-    e = written(e, "edges")
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.put(e, "edges0")
     seen = _digest(e)
-    for _ in range(MAX_ROUNDS):
-        e = written(_star(_star(e, large=True), large=False), "edges")
+    for i in range(MAX_ROUNDS):
+        e = scratch.put(_star(_star(e, large=True), large=False), f"edges{i + 1}")
+        scratch.drop(f"edges{i}")
         now = _digest(e)
         if now == seen:
             break

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import written
 from spindrift.llm.fm_index import FMIndex
-from spindrift.llm.words import WordHashes, mixed, rolled
+from spindrift.llm.words import Spans, mixed, rolled, word_hashes
 
 WINDOW = 20
 K = 6
@@ -34,28 +34,6 @@ SHARD_SEGMENTS = 20_000
 #: Different segments of one anchor beyond which its windows are spread.
 SPREAD = 2_000
 
-_B = 0x9E3779B97F4A7C15
-_B_INVERSE = pow(_B, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Spans:
-    """Hashes of any runs of a text's words."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        n = len(hashes)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_B, n), dtype=np.uint64)])
-        self.back = _powers(_B_INVERSE, n)
-
-    def of(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[starts + lengths] - self.sums[starts]) * self.back[starts] + lengths.astype(np.uint64)).view(np.int64)
-
-
 def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, hash, start and number of windows of each segment of a text.
 
@@ -70,7 +48,7 @@ def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, n
     at += np.arange(len(at))
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     counts = np.diff(np.concatenate([starts, [len(at)]]))
-    return grams[at[starts]].view(np.int64), _Spans(hashes).of(starts, counts + window - 1), starts, counts
+    return grams[at[starts]].view(np.int64), Spans(hashes).of(starts, counts + window - 1).view(np.int64), starts, counts
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -82,13 +60,12 @@ _SEGMENT = "anchor long, seg long, doc_id long, start int, n int"
 
 def all_segments(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
-        hashes = WordHashes()
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 parts, ids = [], []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    parts.append(segments(hashes.of(_words(text)), window))
+                    parts.append(segments(word_hashes((text or "").encode("utf-8")), window))
                     ids.append(np.full(len(parts[-1][0]), doc_id, np.int64))
                 anchor, seg, start, n = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seg), pa.array(np.concatenate(ids)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "seg", "doc_id", "start", "n"])
@@ -143,13 +120,12 @@ def _spread_windows(cut: DataFrame, window: int) -> DataFrame:
     """Each window of the segments with two hashes of its words."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             parts = []
             for doc_id, start, n, words in zip(*(c.to_pylist() for c in batch.columns)):
-                h = hashes.of(words.encode("utf-8").split(b" "))
+                h = word_hashes(words.encode("utf-8"))
                 at, size = np.arange(n), np.full(n, window)
-                parts.append((_Spans(h).of(at, size), _Spans(mixed(h)).of(at, size), np.full(n, doc_id), (start + at).astype(np.int32)))
+                parts.append((Spans(h).of(at, size).view(np.int64), Spans(mixed(h)).of(at, size).view(np.int64), np.full(n, doc_id), (start + at).astype(np.int32)))
             columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc_id", "start"])
 

@@ -9,13 +9,18 @@ indexed by itself; or all are frequent, and as frequent tokens are dealt to
 ``c - 1`` groups, two of one group are shared: a pair, indexed as a combination.
 Very small sets are indexed by their subsets of the size that they must share.
 
-Candidates of a list are verified in two rounds on the whole texts: each
-document with the first of its list, then only those pairs of a list that the
-links so far have not connected.  A list of many near copies thus makes as many
-pairs as it has documents.  Copies of a set are one document throughout.
+An entry of a list carries how many tokens the set loses before its place there,
+and how many tokens of its prefix no other set lists, which it loses to every set
+that is listed as far; these and sizes rule most pairs out inside the list,
+exact prefixes most others, and the rest are verified on whole texts.  That is done in two rounds: each
+document with the leader of its list, then only those pairs of a list that the
+links so far have not connected.  The leader is the set with the fewest rare
+tokens, which among near copies is the one nearest to what they are copies of.  A
+list of many near copies thus makes about as many pairs as it has documents.
+Copies of a set are one document throughout.
 
 The second round pairs all of a list only if it is short.  In a long one each
-document is described by what differs between it and the first, r.  If two
+document is described by what differs between it and the leader, r.  If two
 linked documents differ from r in nothing shared, both link with r, by the sizes
 of the differences; else their differences overlap by a known least number of
 tokens, and a prefix of each difference, tokens that r lacks first, is listed.
@@ -31,82 +36,92 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import written
+from spindrift.llm.common import Scratch
 from spindrift.llm.components import connected_components
-from spindrift.llm.words import WordHashes, mixed, shingle_set
+from spindrift.llm.words import mixed, shingle_set
 
 WORDS = 5
 THRESHOLD = (80, 100)
-#: Tokens of at least this share of all documents, or this many, are frequent.
-FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 64
+#: Tokens that about this many documents hold are frequent, whatever the corpus.
+FREQUENT = 64
 #: At most so many tokens are treated as frequent: the most frequent ones.
 #: Which tokens are decides how fast lists are, never what is found.
 FREQUENT_MOST = 1 << 20
-#: Tokens counted together before what is common among them is passed on.
-CHUNK = 3_000_000
+#: Tokens counted together, and how many documents must hold one there for it to
+#: be passed on.  Both are the same at every size: of a token that is spread
+#: evenly some chunk holds so many unless chunks are far more than its documents.
+CHUNK, PASSED = 6_000_000, 4
+#: Pairs a task holds at most before it passes them on.
+PAIRS = 1_000_000
 GROUPS = 4
-#: Lists up to this length are paired whole in the second round.
-SHORT = 32
-#: No token is beyond this.
-LAST = np.uint64(2**64 - 1)
+#: Lists up to this length are paired whole in the second round; longer than
+#: those of rare tokens, which :data:`FREQUENT` bounds.
+SHORT = 128
+#: Leads no list in which another can.
+NO_LEADER = 2**31 - 1
 
 
-def frequent_tokens(docs: DataFrame, k: int, n_docs: int) -> DataFrame:
-    """``token``, ``n``: tokens that at least about half the frequent share hold.
+def frequent_tokens(docs: DataFrame, k: int) -> DataFrame:
+    """``token``, ``n``: tokens that at least about half of :data:`FREQUENT` documents hold.
 
-    All documents are counted, in chunks.  A token over the share in the corpus
-    is over it in some chunk; only those are summed.
+    All documents are counted, in chunks; what is common in a chunk is summed.
     """
-    share = max(FREQUENT_SHARE, FREQUENT_LEAST / max(1, n_docs))
 
     def count(batches):
-        hashes, held, docs_held, size = WordHashes(), [], 0, 0
+        held, size = [], 0
 
         def common():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(2, share * docs_held)
+            often = n >= PASSED
             return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(shingle_set(text, k, hashes))
-                docs_held, size = docs_held + 1, size + len(held[-1])
+                held.append(shingle_set(text, k))
+                size += len(held[-1])
                 if size >= CHUNK:
                     yield common()
-                    held, docs_held, size = [], 0, 0
+                    held, size = [], 0
         if size:
             yield common()
 
     sums = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return sums.where(F.col("n") >= max(2, share * n_docs / 2)).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST)
+    return sums.where(F.col("n") >= FREQUENT / 2).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, bool]:
-    """Keys under which a set is listed; how many of them, at the front, are
-    single rare tokens, in order; and whether those are all its rare tokens."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]:
+    """The prefix of a set, in order; the keys under which it is listed; the
+    tokens it may lose before each key; how many keys, at the front, are
+    the prefix's rare tokens, in order; whether those are all its rare tokens.
+
+    The first token two sets share is at each one's place, so what comes before
+    is lost.  Of a combination, at most ``c`` shared tokens come up to its second.
+    """
     n, c = len(tokens), GROUPS + 1
     need = -(-n * num // den)  # tokens any partner must share
     often = _among(tokens, frequent)
-    ordered = np.concatenate([tokens[~often], tokens[often]])
-    n_rare = n - int(often.sum())  # those come first
+    n_rare = n - int(often.sum())
+    ordered = np.concatenate([tokens[~often], tokens[often]])  # both in order of the unsigned number
     length = n - need + 1
     if n_rare < length:  # a shared token may be a frequent one
         length = min(n, n - need + c)
     singles = ordered[: min(length, n_rare)]
-    keys = [singles]
+    keys, places = [singles], [np.arange(len(singles))]
     tail = ordered[n_rare:length].view(np.uint64)
     groups = mixed(tail) % np.uint64(GROUPS)
     for g in range(GROUPS):
-        mine = tail[groups == g]
-        if len(mine) > 1:
-            i, j = np.triu_indices(len(mine), 1)
-            keys.append(mixed(mine[i] * np.uint64(3) + mixed(mine[j])).view(np.int64))
+        at = np.flatnonzero(groups == g)
+        if len(at) > 1:
+            i, j = np.triu_indices(len(at), 1)
+            keys.append(mixed(tail[at[i]] * np.uint64(3) + mixed(tail[at[j]])).view(np.int64))
+            places.append(np.maximum(0, n_rare + at[j] - GROUPS))
     if need < c:  # so small a set may share fewer than c
         whole = np.sort(tokens)
         for s in range(need, min(n, c) + 1):
             subsets = [xxhash.xxh3_64_intdigest(np.array(x).tobytes()) for x in combinations(whole.tolist(), s)]
             keys.append(np.array(subsets, np.uint64).view(np.int64))
-    return np.concatenate(keys), len(singles), len(singles) == n_rare
+            places.append(np.zeros(len(subsets), np.int64))
+    return ordered[:length], np.concatenate(keys), np.concatenate(places).astype(np.int32), len(singles), len(singles) == n_rare
 
 
 def _among(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -118,87 +133,167 @@ def _among(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def profiles(docs: DataFrame, shared, k: int, num: int, den: int) -> DataFrame:
     """``doc_id``, ``n`` (set size), ``same`` (digest of the set), and what
-    :func:`index_keys` gives: ``keys``, ``singles``, ``whole``.  ``shared`` is the
-    broadcast array of frequent tokens."""
+    :func:`index_keys` gives: ``prefix``, ``keys``, ``places``, ``singles``,
+    ``whole``.  ``shared`` is the broadcast array of frequent tokens."""
 
     def run(batches):
-        hashes, often = WordHashes(), shared.value
+        often, none = shared.value, np.zeros(0, np.int64)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                n, same, keys, singles, all_rare = [], [], [], [], []
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                n, same, found = [], [], []
                 for text in batch.column(1).to_pylist():
-                    tokens = shingle_set(text, k, hashes)
+                    tokens = shingle_set(text, k)
                     n.append(len(tokens))
                     same.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                    a, b, c = index_keys(tokens, often, num, den) if len(tokens) else (tokens, 0, True)
-                    keys.append(a)
-                    singles.append(b)
-                    all_rare.append(c)
-                cuts = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+                    found.append(index_keys(tokens, often, num, den) if len(tokens) else (none, none, none.astype(np.int32), 0, True))
+                prefix, keys, places, singles, all_rare = zip(*found)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()),
-                    pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys))), pa.array(singles, pa.int32()), pa.array(all_rare, pa.bool_()),
-                ], ["doc_id", "n", "same", "keys", "singles", "whole"])
+                    batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), _lists(prefix), _lists(keys), _lists(places), pa.array(singles, pa.int32()), pa.array(all_rare, pa.bool_()),
+                ], ["doc_id", "n", "same", "prefix", "keys", "places", "singles", "whole"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, same binary, keys array<long>, singles int, whole boolean")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, n long, same binary, prefix array<long>, keys array<long>, places array<int>, singles int, whole boolean")
 
 
-def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``a``, ``b`` that their indexed rare tokens don't rule out.
+def _lists(arrays) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays)))
+
+
+def _listed_up_to(end: np.uint64 | None, x: np.ndarray) -> np.ndarray:
+    return x if end is None else x[x <= end]
+
 
-    Up to the point to which both sets are listed, shared tokens are known; beyond
-    it at most the smaller rest is shared.  No pair of the similarity is lost.
+def most_shared(n: int, x: np.ndarray, rare_x: int, whole_x: bool, m: int, y: np.ndarray, rare_y: int, whole_y: bool) -> int:
+    """At most so many tokens two sets of sizes ``n`` and ``m`` share, from their
+    prefixes, of which the first ``rare_`` tokens are rare ones: ``whole_`` all.
+
+    Up to the token to which both are listed, shared tokens are known; beyond
+    it at most the smaller rest is shared.
     """
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    a, b = x[:rare_x], y[:rare_y]
+    # How far each is listed among the rare tokens; None: to the end.
+    ends = [s[-1] for s, all_rare in ((a, whole_x), (b, whole_y)) if not all_rare]
+    end = min(ends, default=None)
+    a, b = _listed_up_to(end, a), _listed_up_to(end, b)
+    known = [len(a), len(b)]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    if end is None:
+        a, b = x[rare_x:], y[rare_y:]
+        ends = [(s[-1] if len(s) else np.uint64(0)) for s, size, listed in ((a, n, len(x)), (b, m, len(y))) if listed < size]
+        end = min(ends, default=None)
+        a, b = _listed_up_to(end, a), _listed_up_to(end, b)
+        known = [known[0] + len(a), known[1] + len(b)]
+        both += len(np.intersect1d(a, b, assume_unique=True))
+    return both + min(n - known[0], m - known[1])
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a``, ``b`` that their prefixes don't rule out.  None of the
+    similarity is lost."""
+    columns = ("n", "prefix", "singles", "whole")
 
     def run(batches):
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns))
+            known = dict(zip(batch.schema.names, batch.columns))
+            sides = [[known[f"{c}_{x}"].to_pylist() if c != "prefix" else known[f"{c}_{x}"] for c in columns] for x in "ab"]
             good = []
-            for n, m, x, y, all_x, all_y in zip(*(columns[c].to_pylist() for c in ("n_a", "n_b", "keys_a", "keys_b", "whole_a", "whole_b"))):
-                # Rare tokens come in order of their unsigned number.
-                x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
-                end = min(LAST if all_x else x[-1], LAST if all_y else y[-1])
-                x, y = x[x <= end], y[y <= end]
-                both = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
-                good.append((num + den) * both >= num * (n + m))
-            yield pa.RecordBatch.from_arrays([columns["a"], columns["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for i in range(batch.num_rows):
+                (n, x, p, all_x), (m, y, q, all_y) = (tuple(c[i] if j != 1 else c[i].values.to_numpy() for j, c in enumerate(side)) for side in sides)
+                good.append((num + den) * most_shared(n, x, p, all_x, m, y, q, all_y) >= num * (n + m))
+            yield pa.RecordBatch.from_arrays([known["a"], known["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda x: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    return pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").mapInArrow(run, "a long, b long")
+
+
+#: What an entry of a list carries.
+MEMBER = ("doc_id", "n", "place", "alone", "last", "part")
+
+
+def within(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a < b`` of different parts in a list that sizes and places allow.
+
+    ``lists`` has ``members``, at most :data:`SHORT` structs of :data:`MEMBER`,
+    and ``first``, the leader: near copies meet in many lists of one leader, so a
+    task that holds all of a leader's passes each pair on about once.
+    """
+
+    def fitting(columns: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Pairs of each row of places ``at``."""
+        i, j = np.triu_indices(at.shape[1], 1)
+        (a, n, p, u, x, s), (b, m, q, v, y, t) = ([c[at[:, side].ravel()] for c in columns] for side in (i, j))
+        left = np.minimum(np.minimum(n - p, m - q), np.minimum(np.where(x <= y, n - u, n), np.where(y <= x, m - v, m)))
+        ok = (s != t) & (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * left >= num * (n + m))
+        return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]])
+
+    def distinct_pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(found, axis=1)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+    def run(batches):
+        found, size = [], 0
+        for batch in batches:
+            lists = batch.column(0)
+            columns = [lists.flatten().field(c).to_numpy().astype(np.int64) for c in MEMBER]
+            lengths = lists.value_lengths().to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            for k in np.unique(lengths[lengths > 1]).tolist():
+                same = starts[lengths == k]
+                step = max(1, PAIRS // (k * k))
+                for lo in range(0, len(same), step):
+                    found.append(fitting(columns, same[lo : lo + step, None] + np.arange(k)))
+                    size += found[-1].shape[1]
+                    if size >= PAIRS:
+                        yield distinct_pairs(found)
+                        found, size = [], 0
+        if size:
+            yield distinct_pairs(found)
 
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.slice("keys", F.lit(1), F.col("singles")).alias(f"keys_{x}"), F.col("whole").alias(f"whole_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
+    return lists.repartition("first").select("members").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Pairs ``a``, ``b`` whose whole texts reach the similarity."""
 
     def run(batches):
-        hashes, sets = WordHashes(), {}
+        sets = {}
 
         def tokens(doc_id, text):
             if doc_id not in sets:
                 if len(sets) >= 64:
                     sets.clear()
-                sets[doc_id] = shingle_set(text, k, hashes)
+                sets[doc_id] = shingle_set(text, k)
             return sets[doc_id]
 
         for batch in batches:
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             good = []
             for p, q, x, y in zip(a, b, ta, tb):
-                u, v = tokens(p, x), shingle_set(y, k, hashes)
+                u, v = tokens(p, x), shingle_set(y, k)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 good.append(den * both >= num * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, texts, scratch).mapInArrow(run, "a long, b long")
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    asked = written(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    one = asked.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = asked.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+def _with_texts(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs with both texts.  Joins have one form at every size, so that what
+    they shuffle grows with the input and not with a change of plan.  Texts
+    asked for are written once, so a leader of very many pairs is no hot task."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    asked = texts.join(ends.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    if "texts" in scratch.paths:
+        scratch.drop("texts")
+    asked = scratch.put(asked, "texts")
+    one = lambda x: asked.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
+    return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "text_a", "text_b")
 
 
 def difference_keys(x: np.ndarray, r: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
@@ -217,12 +312,12 @@ def difference_keys(x: np.ndarray, r: np.ndarray, frequent: np.ndarray, num: int
     return len(ordered), ordered[: apart + 1]
 
 
-def compared(pairs: DataFrame, texts: DataFrame, shared, k: int, num: int, den: int) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, shared, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """``a``, ``b``, ``n`` (size of ``a``'s set), ``linked``, ``d``, ``keys`` of each
     pair: whether ``a`` links with ``b``, and what :func:`difference_keys` gives."""
 
     def run(batches):
-        hashes, sets, often = WordHashes(), {}, shared.value
+        sets, often = {}, shared.value
         for batch in batches:
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             n, linked, ds, keys = [], [], [], []
@@ -230,8 +325,8 @@ def compared(pairs: DataFrame, texts: DataFrame, shared, k: int, num: int, den:
                 if q not in sets:
                     if len(sets) >= 64:
                         sets.clear()
-                    sets[q] = shingle_set(y, k, hashes)
-                u, r = shingle_set(x, k, hashes), sets[q]
+                    sets[q] = shingle_set(y, k)
+                u, r = shingle_set(x, k), sets[q]
                 d, some = difference_keys(u, r, often, num, den)
                 n.append(len(u))
                 linked.append((den + num) * d <= (den - num) * (len(u) + len(r)))
@@ -243,7 +338,7 @@ def compared(pairs: DataFrame, texts: DataFrame, shared, k: int, num: int, den:
                 pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))),
             ], ["a", "b", "n", "linked", "d", "keys"])
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, n long, linked boolean, d long, keys array<long>")
+    return _with_texts(pairs, texts, scratch).mapInArrow(run, "a long, b long, n long, linked boolean, d long, keys array<long>")
 
 
 def similar(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -258,56 +353,79 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = TH
     component.  Other columns are ignored.  No rows in, none out.
     """
     num, den = threshold
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = np.sort(np.array([r["token"] for r in frequent_tokens(base, words, base.count()).select("token").collect()], np.int64))  # at most FREQUENT_MOST
+    frequent = np.sort(np.array([r["token"] for r in frequent_tokens(base, words).select("token").collect()], np.int64))  # at most FREQUENT_MOST
     often = base.sparkSession.sparkContext.broadcast(frequent)
-    known = written(profiles(base, often, words, num, den), "profiles")
+    known = scratch.put(profiles(base, often, words, num, den), "profiles")
     sets = known.where("n > 0 and doc_id is not null")
-    rep = sets.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    listed = written(sets.join(rep.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).drop("same"), "sets")
-    entries = listed.select("doc_id", "n", "singles", F.posexplode("keys").alias("place", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    lists = entries.select("doc_id", "n", "token", F.when(F.col("place") < F.col("singles"), F.col("place")).otherwise(-1).alias("place"))
-    lists = written(lists.join(shared, "token").withColumn("long", F.col("held") > SHORT).drop("held"), "lists")
-
-    # Sizes must allow the similarity, and so must what is left of each set
-    # behind a single token: every linked pair passes at its first shared one.
-    sizes = f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
-    fits = f"""a.doc_id <> b.doc_id and {sizes}
-        and (a.place < 0 or b.place < 0 or {num + den} * least(a.n - a.place, b.n - b.place) >= {num} * (a.n + b.n))"""
-    ends = [F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")]
-    linked = lambda pairs: verified(written(plausible(pairs, listed, num, den), "plausible"), base, words, num, den)
-    first = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n", "place")).alias("f")).select("token", "f.*")
-    with_first = first.alias("a").join(lists.alias("b"), "token")
-    round1 = written(with_first.where("not long").where(fits).select(*ends).distinct(), "pairs")
-    # Of a long list all are compared with the first, to be described by it.
-    versus = written(with_first.where("long and a.doc_id <> b.doc_id").select(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).distinct(), "versus")
-    found = written(compared(versus, base, often, words, num, den), "compared")
-    met = found.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = written(linked(round1).union(met).distinct(), "links")
-
-    part = written(connected_components(links, "a", "b").toDF("doc_id", "part"), "parts")
-
-    def between(held, keys):
-        """``held`` with parts, where rows of the same keys are in several."""
-        placed = held.join(part, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-        several = placed.groupBy(*keys).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*keys)
-        return written(placed.join(several, keys), "mixed")
-
-    placed = between(lists.where("not long").select("token", "doc_id", "n", "place"), ["token"])
-    short = placed.alias("a").join(placed.alias("b"), "token").where("a.part < b.part").where(fits).select(*ends).distinct()
-    # Where all link with one document, as in most groups of near copies, nothing is left to find.
-    described = between(found.select(F.col("a").alias("doc_id"), "b", "n", "d", "keys"), ["b"])
-    differing = described.select("doc_id", "part", "b", "n", "d", F.posexplode("keys").alias("place", "token"))
-    several = differing.groupBy("b", "token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("b", "token")
-    differing = written(differing.join(several, ["b", "token"]), "differing")
-    overlap = f"{sizes} and {2 * (den + num)} * least(a.d - a.place, b.d - b.place) >= {den + num} * (a.d + b.d) - {den - num} * (a.n + b.n)"
-    far = differing.alias("a").join(differing.alias("b"), ["b", "token"]).where("a.part < b.part").where(overlap).select(*ends).distinct()
-    done = round1.union(versus.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    more = written(linked(short.union(far).distinct().join(done, ["a", "b"], "left_anti")), "links")
-
-    parts = connected_components(links.union(more), "a", "b").toDF("rep", "component")
-    return known.select("doc_id", "n", "same").join(rep, "same", "left").join(parts, "rep", "left").select(
+    # What is joined to rows of a hot key is written first: the adaptive skew join
+    # splits only what comes straight from a shuffle.
+    rep = scratch.put(sets.groupBy("same").agg(F.min("doc_id").alias("rep")), "rep")
+    firsts = sets.join(rep.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    led = F.when(F.size("keys") > F.col("singles"), F.col("singles")).otherwise(F.lit(NO_LEADER))
+    sets = scratch.put(firsts.select("doc_id", "n", "prefix", "singles", "whole"), "sets")
+
+    # Entries of the lists that hold several documents.
+    entry = F.posexplode(F.arrays_zip("keys", "places"))
+    # Rare tokens are listed up to the last of the prefix, in order of the unsigned number.
+    last = F.when(F.col("whole"), F.lit(2**63 - 1)).otherwise(F.element_at("prefix", F.col("singles")).bitwiseXOR(F.lit(-(2**63))))
+    entries = firsts.select("doc_id", "n", "singles", led.alias("led"), last.alias("last"), entry.alias("at", "e")).select(
+        "doc_id", "n", "singles", "led", "last", F.col("e.keys").alias("token"), F.col("e.places").alias("place"), (F.col("at") < F.col("singles")).alias("rare"))
+    entries = scratch.put(entries, "entries")
+    several = scratch.put(entries.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token"), "several")
+    hits = scratch.put(entries.join(several.hint("merge"), "token"), "hits")
+    scratch.drop("entries", "several")
+    # Rare tokens of a prefix that no other prefix has.
+    met = hits.where("rare").groupBy("doc_id").agg(F.count("*").cast("int").alias("met"))
+    alone = (F.col("singles") - F.coalesce("met", F.lit(0))).alias("alone")
+    hits = hits.join(met.hint("merge"), "doc_id", "left").select("token", "led", "doc_id", "n", "place", alone, "last")
+    leads = F.min(F.struct("led", "doc_id", "n", "place", "alone", "last"))
+    # Lists of the same documents are one list, with the least place of each.
+    members = F.xxhash64(F.bit_xor(F.xxhash64("doc_id")), F.count("*"), F.min("doc_id"), F.max("doc_id"))
+    sizes = scratch.put(hits.groupBy("token").agg(members.alias("list"), (F.count("*") > SHORT).alias("long"), leads.alias("f")), "sizes")
+    least = lambda x: F.min(x).alias(x.split(".")[-1])
+    lists = hits.drop("led").join(sizes.hint("merge"), "token").groupBy("list", F.col("f.doc_id").alias("first"), "doc_id").agg(
+        *map(least, ("n", "place", "alone", "last", "long")), F.struct(*map(least, ("f.n", "f.place", "f.alone", "f.last"))).alias("f"))
+    lists = scratch.put(lists, "lists")
+    scratch.drop("hits", "sizes")
+
+    # Sizes must allow the similarity, and so must what is left of each set.
+    def fits(a: str, b: str) -> str:
+        left = f"least({a}n - {a}place, {b}n - {b}place, if({a}last <= {b}last, {a}n - {a}alone, {a}n), if({b}last <= {a}last, {b}n - {b}alone, {b}n))"
+        return f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) and {num + den} * {left} >= {num} * ({a}n + {b}n)"
+
+    ends = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    check = lambda pairs, name: verified(scratch.put(plausible(pairs, sets, num, den), name), base, words, num, den, scratch)
+    pairs = lists.where("doc_id <> first").where(fits("", "f.")).select(*ends("doc_id", "first")).distinct()
+    tried = scratch.put(pairs, "tried")
+    links = scratch.put(check(tried, "plausible1"), "links1")
+    part = scratch.put(connected_components(links, "a", "b").toDF("doc_id", "part"), "parts")
+
+    # Lists whose documents are in several components by now.
+    placed = lists.join(part.hint("merge"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    mixed_up = scratch.put(placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("list"), "mixed")
+    opened = scratch.put(placed.join(mixed_up.hint("merge"), "list"), "open")
+    scratch.drop("lists", "mixed")
+    held = opened.where("not long").groupBy("list", "first").agg(F.collect_list(F.struct(*MEMBER)).alias("members"))
+    short = within(held, num, den)
+
+    versus = opened.where("long and doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    described = scratch.put(compared(versus, base, often, words, num, den, scratch), "described")
+    met = described.where("linked").select(*ends("a", "b"))
+    told = described.join(part.withColumnRenamed("doc_id", "a"), "a", "left").select(F.col("a").alias("doc_id"), F.coalesce("part", "a").alias("part"), "b", "n", "d", F.posexplode("keys").alias("place", "token"))
+    several = told.groupBy("b", "token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("b", "token")
+    differing = scratch.put(told.join(several.hint("merge"), ["b", "token"]), "differing")
+    overlap = f"""{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)
+        and {2 * (den + num)} * least(a.d - a.place, b.d - b.place) >= {den + num} * (a.d + b.d) - {den - num} * (a.n + b.n)"""
+    far = differing.alias("a").join(differing.alias("b").hint("merge"), ["b", "token"]).where("a.part < b.part").where(overlap).select(*ends("a.doc_id", "b.doc_id")).distinct()
+    rest = short.union(far).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+    more = scratch.put(check(rest, "plausible2"), "links2")
+    links = scratch.put(links.union(met).union(more).distinct(), "links")
+    scratch.drop("open", "described", "differing", "sets", "tried", "texts")
+
+    parts = connected_components(links, "a", "b").toDF("rep", "component")
+    return known.select("doc_id", "n", "same").join(rep.hint("merge"), "same", "left").join(parts.hint("merge"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
     )
