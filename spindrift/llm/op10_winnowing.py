@@ -7,11 +7,15 @@ common hash in both fingerprints.
 
 DataFrame functions only: a hash and its position are packed in one number, high
 bits the hash and low bits the position counted from the end, so the least
-number of a window is the least hash at its rightmost place.
+number of a window is the least hash at its rightmost place.  Neighbouring k-grams
+and windows share almost all they hold, so both are put together from runs of
+half their length, and those from halves again: log2 steps a word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,27 +28,41 @@ POSITION_BITS = 27
 ROWS_PER_CELL = 2_000
 
 
+def _rolled(df: DataFrame, column: str, size: int, both: Callable[[Column, Column], Column]) -> DataFrame:
+    """``column`` with, at each place, what ``size`` elements from there on come to.
+
+    ``both`` joins two runs, the second null where the array ends before it.
+    Runs of powers of two are columns, so none is computed twice.
+    """
+    ahead = lambda x, steps: F.slice(x, F.lit(steps + 1), F.greatest(F.size(x), F.lit(1)))
+    run, length, whole, done = column, 1, None, 0
+    while True:
+        if size & length:
+            df = df.withColumn(f"{column}_{done + length}_in_all", F.col(run) if whole is None else F.zip_with(run, ahead(whole, length), both))
+            whole, done = f"{column}_{done + length}_in_all", done + length
+        if 2 * length > size:
+            return df.withColumn(column, F.col(whole))
+        df = df.withColumn(f"{column}_{2 * length}", F.zip_with(run, ahead(run, length), both))
+        run, length = f"{column}_{2 * length}", 2 * length
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """``df`` with column ``out``: array of chosen (hash, position), packed.
 
     A text of fewer than ``k`` words is one k-gram of all its words; one without
     words, or null, has an empty array.
     """
-    low = (1 << POSITION_BITS) - 1
-    words, grams = f"__{out}_words", f"__{out}_grams"
-    one = F.lit(1)
+    names, low, one = df.columns, (1 << POSITION_BITS) - 1, F.lit(1)
+    grams = f"__{out}_grams"
     hashed = F.transform(
         F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)
     )
-    df = df.withColumn(words, hashed)
-    n = F.greatest(F.size(words) - k + 1, F.least(F.size(words), one))
-    gram = lambda i: F.shiftleft(
-        F.shiftrightunsigned(F.xxhash64(F.slice(F.col(words), i, F.lit(k))), POSITION_BITS + 1), POSITION_BITS
-    ).bitwiseOR(F.lit(low) - i)
-    df = df.withColumn(grams, F.when(F.size(words) > 0, F.transform(F.sequence(one, n), gram)).otherwise(F.array().cast("array<long>")))
-    last = F.greatest(F.size(grams) - window + 1, one)
-    least = F.array_distinct(F.transform(F.sequence(one, last), lambda i: F.array_min(F.slice(F.col(grams), i, F.lit(window)))))
-    return df.withColumn(out, F.when(F.size(grams) > 0, least).otherwise(F.array().cast("array<long>"))).drop(words, grams)
+    # A hash of two runs of words; xxhash64 passes over null.
+    df = _rolled(df.withColumn(grams, hashed), grams, k, lambda x, y: F.xxhash64(x, y))
+    first = F.slice(grams, one, F.greatest(F.size(grams) - k + 1, one))
+    packed = F.transform(first, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(F.lit(low - 1) - i))
+    df = _rolled(df.withColumn(grams, packed), grams, window, lambda x, y: F.least(x, y))
+    return df.select(*(F.col(c) for c in names if c != out), F.array_distinct(F.slice(grams, one, F.greatest(F.size(grams) - window + 1, one))).alias(out))
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -106,13 +124,14 @@ def with_next(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """
     docs = in_ranges(docs, rows_per_cell).withColumn("tie", F.md5(F.coalesce("text", F.lit(""))))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    # The first row of each range, as numbers only: at most 65537 rows.
-    heads = docs.groupBy("cell").agg(F.min(F.struct((-F.col("doc_id")).alias("at"), "tie")).alias("head"))
+    # The first row of each range, as numbers only: at most 65537 rows.  The
+    # complement puts ids in descending order without leaving their range.
+    heads = docs.groupBy("cell").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("at"), "tie")).alias("head"))
     one = Window.partitionBy(F.lit(0)).orderBy("cell")
     heads = heads.withColumn("to", F.coalesce(F.lag("cell").over(one), F.max("cell").over(Window.partitionBy(F.lit(0))))).select(
         F.col("cell").alias("from"), "to", F.col("head.at").alias("at"), F.col("head.tie").alias("head_tie")
     )
-    copies = docs.join(F.broadcast(heads), F.expr("cell = from and -doc_id <=> at and tie = head_tie"))
+    copies = docs.join(F.broadcast(heads), F.expr("cell = from and ~doc_id <=> at and tie = head_tie"))
     copies = copies.withColumn("cell", F.col("to")).drop("from", "to", "at", "head_tie")
     both = docs.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
     w = Window.partitionBy("cell").orderBy("copy", *order)

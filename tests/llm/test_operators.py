@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -238,9 +239,10 @@ def _sets(texts, k):
     return out
 
 
-@pytest.mark.parametrize("short", [0, 32])
-def test_jaccard(spark, monkeypatch, short):
+@pytest.mark.parametrize(("short", "frequent"), [(0, 64), (2, 8), (128, 8), (128, 64)])
+def test_jaccard(spark, monkeypatch, short, frequent):
     monkeypatch.setattr(op8_jaccard, "SHORT", short)
+    monkeypatch.setattr(op8_jaccard, "FREQUENT", frequent)
     rnd = random.Random(5)
     base = [f"w{rnd.randrange(5000)}" for _ in range(90)]
     texts = [None, "", "a b", "A B", "a b c", "x y z " * 50]
@@ -258,6 +260,27 @@ def test_jaccard(spark, monkeypatch, short):
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(sets))} and len(set(want.values())) > 50
 
 
+@pytest.mark.parametrize("edits", [(1, 4), (2, 3)])
+def test_jaccard_of_copies_of_a_text_that_is_not_there(spark, monkeypatch, edits):
+    """Most of the group don't link with its leader, and many with nothing."""
+    monkeypatch.setattr(op8_jaccard, "SHORT", 4)
+    rnd = random.Random(edits[0])
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(220):
+        w = list(base)
+        for _ in range(rnd.randint(*edits)):
+            i = rnd.randrange(150)
+            w[i] = f"x{i}" if rnd.random() < 0.7 else f"y{rnd.randrange(10**9)}"
+        texts.append(" ".join(w))
+    sets = _sets(texts, 5)
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = _classes(range(len(sets)), linked)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in op8_jaccard.similar(docs, 5, (85, 100)).collect()} == want
+    assert 10 < len(set(want.values())) < 220
+
+
 def test_near_duplicates_of_the_pipeline_keep_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text), (2, text), (3, "other"), (4, ""), (None, text), (None, text), (None, None)]
@@ -266,26 +289,27 @@ def test_near_duplicates_of_the_pipeline_keep_null_ids(spark):
     assert Counter(got) == {1: 1, 3: 1, 4: 1, None: 3}
 
 
-def test_rare_prefixes_rule_no_link_out(spark):
+def test_prefixes_rule_no_link_out():
     rng = np.random.default_rng(7)
-    sets, pairs, often = [], [], []
-    for i in range(300):
-        # The smaller set is contained in the other, at the threshold; 1 to 3 prefix lengths of rare tokens.
-        big = np.unique(rng.integers(0, 2**64, 100, np.uint64))
-        keep = np.sort(rng.permutation(100)[:90])
-        common = rng.permutation(keep)[: 90 - rng.integers(1, 31)]
-        often.append(big[common])
-        sets += [(2 * i, big[keep]), (2 * i + 1, big)]
-        pairs.append((2 * i, 2 * i + 1))
-    often = np.sort(np.concatenate(often).view(np.int64))
-    rows = []
-    for i, x in sets:
-        keys, singles, whole = op8_jaccard.index_keys(x.view(np.int64), often, 90, 100)
-        rows.append((i, len(x), keys.tolist(), singles, whole))
-    asked = spark.createDataFrame(pairs, "a long, b long")
-    known = spark.createDataFrame(rows, "doc_id long, n long, keys array<long>, singles int, whole boolean")
-    got = {tuple(r) for r in op8_jaccard.plausible(asked, known, 90, 100).collect()}
-    assert got == set(pairs) and len({r[4] for r in rows}) == 2
+    shapes, exact = set(), 0
+    for _ in range(600):
+        # The smaller set is contained in the other, or overlaps with it, about at the threshold.
+        size = int(rng.integers(4, 120))
+        big = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        out = int(rng.integers(0, size // 8 + 1))
+        new = rng.integers(0, 2**64, int(rng.integers(0, 3)), np.uint64)
+        small = np.unique(np.concatenate([rng.permutation(big)[out:], new]))
+        every = np.union1d(big, small)
+        often = np.sort(rng.permutation(every)[: rng.integers(0, len(every) + 1)].view(np.int64))
+        (x, kx, lx, rx, wx), (y, ky, ly, ry, wy) = (op8_jaccard.index_keys(s.view(np.int64), often, 90, 100) for s in (small, big))
+        both, shapes = len(np.intersect1d(small, big)), shapes | {(wx, wy)}
+        most = op8_jaccard.most_shared(len(small), x, rx, wx, len(big), y, ry, wy)
+        assert most >= both
+        exact += most == both
+        if 100 * both >= 90 * (len(small) + len(big) - both):
+            places = {k: (p, q) for k, p in zip(kx.tolist(), lx.tolist()) for j, q in zip(ky.tolist(), ly.tolist()) if j == k}
+            assert any(190 * min(len(small) - p, len(big) - q) >= 90 * (len(small) + len(big)) for p, q in places.values())
+    assert len(shapes) >= 3 and exact > 50
 
 
 def test_packing(spark):
@@ -346,6 +370,47 @@ def test_winnowing(spark):
     assert got[3]["fingerprint"] == got[35]["fingerprint"] and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got.values())
 
 
+def _plain_fingerprint(text, k, window):
+    """Each window's least hash, the rightmost on ties, by trying all."""
+    def number(x, seed=42):
+        return xxhash.xxh64_intdigest(x if isinstance(x, bytes) else x.to_bytes(8, "little"), seed)
+
+    def run(words, length):  # hash of a run: halves of a power of two, what is left over before it
+        if not words:
+            return None
+        if length == 1:
+            return number(words[0].encode())
+        tail = 1 << (length.bit_length() - 1)
+        head = tail // 2 if tail == length else tail
+        x, y = run(words[:head], head), run(words[head:], length - head)
+        return number(x) if y is None else number(y, number(x))
+
+    words = WORD.findall(text or "")
+    grams = [run(words[i : i + k], k) >> 28 for i in range(max(len(words) - k + 1, min(1, len(words))))]
+    chosen = []
+    for i in range(max(len(grams) - window + 1, min(1, len(grams)))):
+        part = grams[i : i + window]
+        at = i + max(j for j, g in enumerate(part) if g == min(part))
+        if at not in chosen:
+            chosen.append(at)
+    return " ".join(f"{grams[at]:x}@{at}" for at in chosen)
+
+
+@pytest.mark.parametrize(("k", "window"), [(5, 12), (3, 7), (1, 1), (4, 8)])
+def test_winnowing_against_all_windows(spark, k, window):
+    rnd = random.Random(12)
+    texts = [None, "", "one", "a b c", "x " * 60, *(" ".join(f"é{rnd.randrange(40)}" for _ in range(n)) for n in (2, 4, 5, 11, 16, 17, 90))]
+    ids = [2**63 - 1, -(2**63), *range(len(texts) - 2)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in op10_winnowing.fingerprint_documents(docs, k, window, rows_per_cell=3).collect()}
+    after = sorted(zip(ids, texts), reverse=True)
+    for (i, t), (_, succ) in zip(after, after[1:] + after[:1]):
+        t = t or ""
+        edited = t[: len(t) - len(t) // 2] + (succ or "")[: len(t) // 2]
+        assert got[i]["fingerprint"] == _plain_fingerprint(t, k, window) and got[i]["edited_text"] == edited
+        assert got[i]["edited_fingerprint"] == _plain_fingerprint(edited, k, window)
+
+
 def test_winnowing_ranges_hold_like_numbers_of_rows(spark):
     ids = [*range(500), *range(10**9, 10**9 + 500), 10**15, -(10**15), None]
     docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").repartition(4)
