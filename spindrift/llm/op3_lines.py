@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import Scratch, slices
+
 MIN_CHARS = 20
 MIN_DOCS = 3
 #: Bits of each filter.  A fuller filter lets more keys through to the exact
@@ -102,7 +104,7 @@ def twice_seen(docs: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> DataFr
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _Pair(bits)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if keys := {k for k in line_keys(text, min_chars) if k is not None}:
                     pair.add(_hashes(keys))
@@ -151,7 +153,7 @@ def dedup_lines(
         twice = np.zeros(bits // 8, np.uint8)
         for segment, blob in filters.value.items():
             twice[segment * SEGMENT_BITS // 8 : (segment + 1) * SEGMENT_BITS // 8] = _unpack(blob)
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if own := list({k for k in line_keys(text, min_chars) if k is not None}):
@@ -163,14 +165,18 @@ def dedup_lines(
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
     suspect = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(suspects, "doc_id long, key binary").distinct()
-    keep = suspect.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    drop = suspect.join(keep, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("__drop"))
+    # Written first: the adaptive skew join splits a line that very many documents
+    # hold only if what is joined to it comes straight from a shuffle.
+    scratch = Scratch(spark)
+    suspect = scratch.put(suspect, "suspects")
+    keep = scratch.put(suspect.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "keepers")
+    drop = suspect.join(keep.hint("merge"), "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("__drop"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     both = docs.select(*names).join(drop.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_dropped", "long")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, dropped in zip(batch.column("text").to_pylist(), batch.column("__drop").to_pylist()):
                 text = text or ""
