@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.common import written
+from spindrift.llm.common import slices, written
 
 #: Buckets of n-grams: the length of every vector, whatever the corpus.
 BITS = 16
@@ -107,7 +107,7 @@ def class_counts_and_sample(train: DataFrame, max_fit_rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, (1 << BITS) + 1), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             ys, bits = [], []
             for y, text, picked in zip(*(c.to_pylist() for c in batch.columns)):
                 at = features(text)
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             scores = np.array([m.score(features(t)) for t in batch.column("text").to_pylist()], float)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"]
@@ -238,7 +238,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """``doc_id``, ``text``, ``y`` of labelled documents outside fold ``held``.
 
-    The fold is the CRC-32 of the id as text, modulo ``folds``.
+    The fold is the CRC-32 of the id as text, modulo ``folds``.  The join has one
+    form at every size: what it shuffles is the labelled texts, never more.
     """
     known = labels.where(F.crc32(F.col("doc_id").cast("string")) % folds != held).select("doc_id", F.col("quality").alias("y"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
