@@ -14,10 +14,11 @@ and how many tokens of its prefix no other set lists, which it loses to every se
 that is listed as far; these and sizes rule most pairs out inside the list,
 exact prefixes most others, and the rest are verified on whole texts.  That is done in two rounds: each
 document with the leader of its list, then only those pairs of a list that the
-links so far have not connected.  The leader is the set with the fewest rare
-tokens, which among near copies is the one nearest to what they are copies of.  A
-list of many near copies thus makes about as many pairs as it has documents.
-Copies of a set are one document throughout.
+links so far have not connected.  Long lists are cut by set size, a set in two
+neighbouring cuts, so that all that may link meet.  The leader is the set whose
+lists hold most documents, which among near copies is the one nearest to
+what they are copies of.  A list of many near copies thus makes about as many
+pairs as it has documents.  Copies of a set are one document throughout.
 
 The second round pairs all of a list only if it is short.  In a long one each
 document is described by what differs between it and the leader, r.  If two
@@ -28,6 +29,7 @@ tokens, and a prefix of each difference, tokens that r lacks first, is listed.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -57,8 +59,6 @@ GROUPS = 4
 #: Lists up to this length are paired whole in the second round; longer than
 #: those of rare tokens, which :data:`FREQUENT` bounds.
 SHORT = 128
-#: Leads no list in which another can.
-NO_LEADER = 2**31 - 1
 
 
 def frequent_tokens(docs: DataFrame, k: int) -> DataFrame:
@@ -361,23 +361,24 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = TH
     # splits only what comes straight from a shuffle.
     rep = scratch.put(sets.groupBy("same").agg(F.min("doc_id").alias("rep")), "rep")
     firsts = sets.join(rep.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    led = F.when(F.size("keys") > F.col("singles"), F.col("singles")).otherwise(F.lit(NO_LEADER))
     sets = scratch.put(firsts.select("doc_id", "n", "prefix", "singles", "whole"), "sets")
 
     # Entries of the lists that hold several documents.
     entry = F.posexplode(F.arrays_zip("keys", "places"))
     # Rare tokens are listed up to the last of the prefix, in order of the unsigned number.
     last = F.when(F.col("whole"), F.lit(2**63 - 1)).otherwise(F.element_at("prefix", F.col("singles")).bitwiseXOR(F.lit(-(2**63))))
-    entries = firsts.select("doc_id", "n", "singles", led.alias("led"), last.alias("last"), entry.alias("at", "e")).select(
-        "doc_id", "n", "singles", "led", "last", F.col("e.keys").alias("token"), F.col("e.places").alias("place"), (F.col("at") < F.col("singles")).alias("rare"))
+    entries = firsts.select("doc_id", "n", "singles", last.alias("last"), entry.alias("at", "e")).select(
+        "doc_id", "n", "singles", "last", F.col("e.keys").alias("token"), F.col("e.places").alias("place"), (F.col("at") < F.col("singles")).alias("rare"))
     entries = scratch.put(entries, "entries")
-    several = scratch.put(entries.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token"), "several")
+    several = scratch.put(entries.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "several")
     hits = scratch.put(entries.join(several.hint("merge"), "token"), "hits")
     scratch.drop("entries", "several")
-    # Rare tokens of a prefix that no other prefix has.
-    met = hits.where("rare").groupBy("doc_id").agg(F.count("*").cast("int").alias("met"))
-    alone = (F.col("singles") - F.coalesce("met", F.lit(0))).alias("alone")
-    hits = hits.join(met.hint("merge"), "doc_id", "left").select("token", "led", "doc_id", "n", "place", alone, "last")
+    # By document: rare tokens of its prefix that no other prefix has, and how full its lists are.
+    met = hits.groupBy("doc_id").agg(F.sum(F.col("rare").cast("int")).cast("int").alias("met"), (-F.sum("held")).alias("led"))
+    alone = (F.col("singles") - F.col("met")).alias("alone")
+    cut = F.floor(F.log("n") / (1.001 * math.log(den / num))) if num < den else F.col("n")
+    cuts = F.explode(F.when(F.col("held") > SHORT, F.array(cut, cut + 1)).otherwise(F.array(F.lit(-1).cast("long")))).alias("cut")
+    hits = hits.join(met.hint("merge"), "doc_id").select("token", "led", "doc_id", "n", "place", alone, "last", cuts).withColumn("token", F.xxhash64("token", "cut")).drop("cut")
     leads = F.min(F.struct("led", "doc_id", "n", "place", "alone", "last"))
     # Lists of the same documents are one list, with the least place of each.
     members = F.xxhash64(F.bit_xor(F.xxhash64("doc_id")), F.count("*"), F.min("doc_id"), F.max("doc_id"))
