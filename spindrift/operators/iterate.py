@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder.
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; only
+    a local session may go without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or f"{tempfile.gettempdir()}/checkpoints"
 
 
 def settled(df: DataFrame, name: str = "step") -> DataFrame:

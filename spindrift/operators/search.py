@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from spindrift.functions import vector
 
 #: Words that no query is about (fixed values).
-STOP_WORDS = frozenset(
-    "a an and are as at be by for from has he in is it its of on or that the to was were will with this but they have had what when where who which why how".split()
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "with", "this",
+    "but", "they", "we", "you", "your", "my", "their", "been", "do", "does", "did",
 )
 K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits, two characters or more, no stop words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
-    return F.filter(words, lambda w: ~w.isin(*sorted(STOP_WORDS)))
+    """Lower-case runs of letters and digits, two bytes or more, no stop words."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda w: F.octet_length(w) >= 2)
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
@@ -36,7 +37,7 @@ def bm25(docs: DataFrame, query: str, id_: str = "id", text: str = "text", prefi
     their own rarity.  Only the query's words are ever grouped; statistics are
     taken in the same pass over the texts.
     """
-    wanted = sorted({w for w in re.findall(r"[^\W_]+", query.lower()) if len(w) >= 2 and w not in STOP_WORDS})
+    wanted = sorted({w for w in re.findall(r"[^\W_]+", query.lower()) if len(w.encode()) >= 2 and w not in STOP_WORDS})
     sized = docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("w")).withColumn("length", F.size("w"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     keep = (lambda t: F.exists(F.array(*map(F.lit, wanted)), t.startswith)) if prefixes else (lambda t: t.isin(*wanted))

@@ -19,9 +19,11 @@ def _vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
 
 
-_STOP = ", ".join(f"'{w}'" for w in sorted(search.STOP_WORDS))
+#: The values of ``search.STOP_WORDS``, written out so that the SQL stands on its own.
+_STOP = """'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'have', 'he', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'to', 'was', 'were', 'with', 'this',
+'but', 'they', 'we', 'you', 'your', 'my', 'their', 'been', 'do', 'does', 'did'"""
 _BM25 = rf"""
-WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN ({_STOP})) AS words FROM documents),
+WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{Nd}}]+'), lambda x: strlen(x) >= 2 AND x NOT IN ({_STOP})) AS words FROM documents),
 s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM w), h AS (SELECT id, len(words) AS length, unnest(words) AS term FROM w),
 t AS (SELECT id, length, term, count(*) AS tf FROM h WHERE term IN ('license', 'version', 'idiot') GROUP BY id, length, term), d AS (SELECT term, count(*) AS df FROM t GROUP BY term),
 b AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM t JOIN d USING (term) CROSS JOIN s GROUP BY id)

@@ -8,20 +8,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Line ends outside quoted fields.
+_LINE_END = r'\r?\n(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def load_csv(spark: SparkSession, path: str, header: bool = True, separator: str = ",") -> DataFrame:
-    """``line_no``, ``list``, ``map`` of each line, all values strings.
+    """``line_no``, ``list``, ``map`` of each line of a file or of each file of a
+    folder, all values strings.
 
-    ``line_no`` counts from 1 within a file and counts the header, so a file is
+    ``line_no`` counts from 1 within a file and counts the header, which each
+    file has of its own; a quoted field may hold line ends.  So a file is
     read whole by one task; for large files use :func:`read_csv`.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("i", "line"))
-    parsed = F.split("line", f"{re.escape(separator)}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
-    values = F.transform(parsed, lambda x: F.replace(F.regexp_replace(x, r'^"|"$', ""), F.lit('""'), F.lit('"')))
-    rows = lines.select((F.col("i") + 1).alias("line_no"), values.alias("list"))
+    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), _LINE_END).alias("lines"))
+    parsed = lambda line: F.transform(
+        F.split(line, f'{re.escape(separator)}(?=(?:[^"]*"[^"]*")*[^"]*$)'),
+        lambda x: F.replace(F.regexp_replace(x, r'^"|"$', ""), F.lit('""'), F.lit('"')))
+    rows = whole.select(parsed(F.get("lines", F.lit(0))).alias("names"), F.posexplode("lines").alias("i", "line")).select((F.col("i") + 1).alias("line_no"), "names", parsed(F.col("line")).alias("list"))
     if not header:
-        return rows.withColumn("map", F.create_map().cast("map<string,string>"))
-    names = rows.where("line_no = 1").select(F.col("list").alias("names"))
-    return rows.where("line_no > 1").crossJoin(F.broadcast(names)).select("line_no", "list", F.map_from_arrays("names", "list").alias("map"))  # one row
+        return rows.select("line_no", "list", F.create_map().cast("map<string,string>").alias("map"))
+    return rows.where("line_no > 1").select("line_no", "list", F.map_from_arrays("names", "list").alias("map"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, separator: str = ",") -> DataFrame:

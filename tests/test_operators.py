@@ -136,3 +136,11 @@ def test_vector_top(spark):
 def test_sessions(spark):
     e = spark.createDataFrame([("a", 0), ("a", 100), ("a", 5000), ("b", 50)], "node string, s long").select("node", F.timestamp_seconds("s").alias("ts"))
     assert temporal.session_stats(e, gap=300).count() >= 2
+
+
+def test_search_tokens(spark):
+    from spindrift.operators import search
+
+    text = "We had what YOU do: é x9 ½ 5 They've been here, which was how"
+    got = spark.range(1).select(search.tokens(F.lit(text)).alias("t")).first()["t"]
+    assert got == ["had", "what", "é", "x9", "ve", "here", "which", "how"]

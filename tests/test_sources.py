@@ -13,6 +13,14 @@ def test_csv(spark, tmp_path):
     assert [r["line_no"] for r in got] == [2, 3] and got[0]["map"] == {"name": "Ann", "says": 'hi, "you"'}
 
 
+def test_csv_folder(spark, tmp_path):
+    for name, text in (("a", 'name,says\nAnn,"two\nlines"\nBob,x\n'), ("b", "says,name\ny,Cy\nz,Di\n"), ("c", "name,says\nEd,1\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = sorted((r["line_no"], r["map"]["name"], r["map"]["says"]) for r in tables.load_csv(spark, str(tmp_path)).collect())
+    assert got == [(2, "Ann", "two\nlines"), (2, "Cy", "y"), (2, "Ed", "1"), (3, "Bob", "x"), (3, "Di", "z")]
+    assert tables.load_csv(spark, str(tmp_path), header=False).count() == 8
+
+
 def test_graph_round_trip(spark, tmp_path):
     graph = graphs.tpch_graph(spark, SF)
     nodes, rels = graphs.to_tables(graph.__class__(spark, {"Nation": graph.nodes("Nation"), "Region": graph.nodes("Region")}, {"IN_REGION": graph.types["IN_REGION"]}))
