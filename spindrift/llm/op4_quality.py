@@ -136,13 +136,15 @@ def dual_coordinate_descent(
     and the bias.
     """
     rng = np.random.default_rng(seed)
-    values = [ratios[at] / np.sqrt(max(1, len(at))) for at in rows]
-    norm = np.array([v @ v + 1 for v in values])
+    # Values are looked up at each visit: held for all rows, they'd take more than the rows.
+    scale = [1 / np.sqrt(max(1, len(at))) for at in rows]
+    norm = np.array([(ratios[at] ** 2).sum() * s * s + 1 for at, s in zip(rows, scale)])
     w, bias, alpha = np.zeros(len(ratios)), 0.0, np.zeros(len(rows))
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            at, v = rows[i], values[i]
+            at = rows[i]
+            v = ratios[at] * scale[i]
             new = min(max(alpha[i] - (y[i] * (w[at] @ v + bias) - 1) / norm[i], 0.0), cost[i])
             if step := (new - alpha[i]) * y[i]:
                 most = max(most, abs(step) / cost[i])
@@ -195,7 +197,7 @@ def fit(train: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     rows, y = [], []
     for label in (0, 1):
         for r in seen.where(F.col("bits").isNotNull() & (F.col("y") == label)).select("bits").orderBy(F.md5("bits")).limit(max_fit_rows).toLocalIterator():
-            rows.append(np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))).astype(np.int32))
+            rows.append(np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))).astype(np.uint16))
             y.append(label)
     y = np.array(y)
     order = np.random.default_rng(SEED).permutation(len(y))

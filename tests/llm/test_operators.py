@@ -180,6 +180,49 @@ def test_quality_on_the_held_out_fold(spark):
     assert auc >= 0.9 and right >= 0.85 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+def test_hinge_loss_fit_closes_the_duality_gap():
+    rng = np.random.default_rng(3)
+    size = 40
+    rows = [np.sort(rng.permutation(size)[: rng.integers(1, 12)]).astype(np.int32) for _ in range(80)]
+    y = np.where([(r < 15).mean() + rng.normal() * 0.3 > 0.4 for r in rows], 1, -1)
+    ratios, cost = rng.normal(size=size), np.full(80, 0.7)
+    w, bias = op4_quality.dual_coordinate_descent(rows, y, ratios, cost, epochs=3000)
+    x = np.zeros((80, size + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r] / np.sqrt(len(r))
+        x[i, -1] = 1
+    full = np.append(w, bias)
+    # Weights belong to the features, so the kernel's best dual is found apart, by projected gradient.
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(80), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(40_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    primal = full @ full / 2 + (cost * np.maximum(0, 1 - y * (x @ full))).sum()
+    assert abs(primal - (alpha.sum() - alpha @ q @ alpha / 2)) <= 1e-2 * primal
+
+
+def test_class_counts_against_a_plain_count(spark):
+    rnd = random.Random(6)
+    rows = [(i, None if i % 11 == 0 else " ".join(rnd.choice(["good", "bad", "x9", "!!"]) for _ in range(rnd.randrange(9))), i % 2) for i in range(60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(4)
+    got = Counter()
+    seen = op4_quality.class_counts_and_sample(train, 7).collect()
+    for r in seen:
+        if r["bucket"] is not None:
+            got[r["y"], r["bucket"]] += r["n"]
+    want = Counter((y, b) for _, t, y in rows for b in [*op4_quality.features(t).tolist(), 1 << op4_quality.BITS])
+    assert got == want
+    assert Counter(r["y"] for r in seen if r["bits"] is not None) == {0: 7, 1: 7}
+
+
+def test_calibration_finds_the_curve():
+    rng = np.random.default_rng(4)
+    margins = rng.normal(size=20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(1.7 * margins - 0.6)))).astype(int)
+    slope, shift = op4_quality._platt(margins, y, np.ones(20_000))
+    assert abs(slope - 1.7) < 0.1 and abs(shift + 0.6) < 0.1
+
+
 def test_quality_of_one_class_and_nulls(spark, odd):
     model = op4_quality.fit(odd.withColumn("y", F.lit(1)))
     got = {(r["doc_id"], r["text"]): r["score"] for r in op4_quality.score(odd, model).collect()}
