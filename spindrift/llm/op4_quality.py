@@ -196,9 +196,12 @@ def fit(train: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     # At most 2 * max_fit_rows bitmaps of 2**BITS bits come to the driver.
     rows, y = [], []
     for label in (0, 1):
-        for r in seen.where(F.col("bits").isNotNull() & (F.col("y") == label)).select("bits").orderBy(F.md5("bits")).limit(max_fit_rows).toLocalIterator():
-            rows.append(np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))).astype(np.uint16))
-            y.append(label)
+        sample = seen.where(F.col("bits").isNotNull() & (F.col("y") == label)).select("bits").orderBy(F.md5("bits")).limit(max_fit_rows).toArrow()
+        for batch in sample.to_batches(max_chunksize=256):
+            found = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))).astype(np.uint16) for b in batch.column(0).to_pylist()]
+            # Views of one array: thousands of small arrays would leave the driver's memory in pieces.
+            rows += np.split(np.concatenate(found), np.cumsum([len(at) for at in found])[:-1]) if found else []
+            y += [label] * len(found)
     y = np.array(y)
     order = np.random.default_rng(SEED).permutation(len(y))
     rows, y = [rows[i] for i in order], y[order]

@@ -353,7 +353,7 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = TH
     num, den = threshold
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = np.sort(np.array([r["token"] for r in frequent_tokens(base, words).select("token").collect()], np.int64))  # at most FREQUENT_MOST
+    frequent = np.sort(frequent_tokens(base, words).select("token").toArrow().column(0).to_numpy())  # at most FREQUENT_MOST
     often = base.sparkSession.sparkContext.broadcast(frequent)
     known = scratch.put(profiles(base, often, words, num, den), "profiles")
     sets = known.where("n > 0 and doc_id is not null")
