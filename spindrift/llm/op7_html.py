@@ -44,10 +44,14 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _AWAY = {"head", "nav", "aside", "footer", "form", "button", "select", "svg", "canvas", "object", "audio", "video", "dialog", "menu"} | _RAW
 _AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 _AWAY_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
-    "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "sidebar", "menu", "nav", "navbar",
-    "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "comment", "comments", "replies", "reply", "share", "sharing",
-    "social", "related", "recommended", "widget", "widgets", "toolbar", "pagination", "pager", "login", "search", "skip",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "cookie", "cookies", "gdpr", "popup", "modal",
+    "newsletter", "sidebar", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "replies", "share",
+    "sharing", "social", "pagination", "pager",
+}
+#: Words that an article's own blocks bear too: they count outside one only.
+_AWAY_OUTSIDE = {
+    "header", "promotion", "banner", "consent", "notice", "notices", "alert", "subscribe", "signup", "menu", "masthead", "topbar", "reply", "related",
+    "recommended", "widget", "widgets", "toolbar", "login", "search", "skip",
 }
 
 
@@ -80,7 +84,7 @@ def _away(name: str, rest: str, inside: bool) -> bool:
             return True
         if key in ("class", "id"):
             words = set(re.split(r"[^a-z0-9]+", value))
-            if words & _AWAY_WORDS or "header" in words and not inside:
+            if words & _AWAY_WORDS or words & _AWAY_OUTSIDE and not inside:
                 return True
     return False
 
@@ -88,16 +92,21 @@ def _away(name: str, rest: str, inside: bool) -> bool:
 def events(page: str) -> list[Event]:
     """Texts and tags of a page, in order.  What never is main text is one tag."""
     out: list[Event] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are kept
+    stack: list[tuple[str, bool, str]] = []  # open elements, whether they are kept, the block they are in
+    opened: Counter[str] = Counter()  # their names
     at, n = 0, len(page)
 
-    def state() -> tuple[str, bool]:
-        return stack[-1] if stack else ("body", True)
+    def state() -> tuple[str, bool, str]:
+        return stack[-1] if stack else ("body", True, "body")
+
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
 
     def text(s: str) -> None:
         if s:
-            block = next((x for x, _ in reversed(stack) if x in _BLOCK), "body")
-            out.append((0, html.unescape(s), block, state()[1]))
+            out.append((0, html.unescape(s), state()[2], state()[1]))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -112,8 +121,8 @@ def events(page: str) -> list[Event]:
         rest = m["rest"] if m["name"] else m["rest2"]
         kept = state()[1]
         if m["close"] or m["close2"]:
-            if any(x == name for x, _ in stack):
-                while stack.pop()[0] != name:
+            if opened[name]:
+                while pop() != name:
                     pass
             if kept:
                 out.append((1, name, "", True))
@@ -121,10 +130,10 @@ def events(page: str) -> list[Event]:
                 out.append((1, name, "", True))
             continue
         if name in _BLOCK:
-            while stack and stack[-1][0] in _LOOSE or stack and stack[-1][0] not in _BLOCK and any(x in _LOOSE for x, _ in stack):
-                stack.pop()
+            while stack and stack[-1][0] in _LOOSE or stack and stack[-1][0] not in _BLOCK and any(opened[x] for x in _LOOSE):
+                pop()
             if name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
+                pop()
             kept = state()[1]
         if kept:
             out.append((1, name, "", True))
@@ -134,8 +143,9 @@ def events(page: str) -> list[Event]:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        inside = any(x in ("article", "main") for x, _ in stack)
-        stack.append((name, kept and not _away(name, rest, inside)))
+        inside = opened["article"] + opened["main"] > 0
+        stack.append((name, kept and not _away(name, rest, inside), name if name in _BLOCK else state()[2]))
+        opened[name] += 1
     return out
 
 
