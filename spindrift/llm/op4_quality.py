@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -171,47 +172,21 @@ def _platt(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(max(b[0], 1e-6)), float(b[1])
 
 
-def fit(train: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
-    """A model of ``y`` (0 or 1) from ``text``.
-
-    Class counts cover all rows of ``train``.  The hinge-loss fit and its
-    calibration see at most ``max_fit_rows`` of each class, first in order of an
-    MD5 of ``doc_id``.  Rows with another ``y`` are ignored; if a class has no
-    rows, all scores are the share of label 1 (0.5 with no rows at all).
-    """
-    train = train.where(F.col("y").isin(0, 1)).select(F.col("y").cast("int").alias("y"), "text", "doc_id")
-    size = 1 << BITS
-    counts = np.zeros((2, size + 1))
-    seen = written(class_counts_and_sample(train, max_fit_rows), "training")
-    sums = seen.where("bucket is not null").groupBy("y", "bucket").agg(F.sum("n").alias("n"))
-    for r in sums.toLocalIterator():  # at most 2 * (2**BITS + 1) rows
-        counts[r["y"], r["bucket"]] = r["n"]
+def fitted(counts: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Model:
+    """A model from the class counts (2 rows, the last column the class itself)
+    and a sample of rows of indicators with their labels ``y``."""
     totals = counts[:, -1]
-    if not totals.all():
-        share = (totals[1] + 1) / (totals.sum() + 2)
-        return Model(np.zeros(size), 0.0, 1.0, float(np.log(share / (1 - share))))
     smoothed = (counts[:, :-1] + SMOOTHING) / (totals[:, None] + 2 * SMOOTHING)
     ratios = np.log(smoothed[1] / smoothed[0])
-
-    # At most 2 * max_fit_rows bitmaps of 2**BITS bits come to the driver.
-    rows, y = [], []
-    for label in (0, 1):
-        sample = seen.where(F.col("bits").isNotNull() & (F.col("y") == label)).select("bits").orderBy(F.md5("bits")).limit(max_fit_rows).toArrow()
-        for batch in sample.to_batches(max_chunksize=256):
-            found = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))).astype(np.uint16) for b in batch.column(0).to_pylist()]
-            # Views of one array: thousands of small arrays would leave the driver's memory in pieces.
-            rows += np.split(np.concatenate(found), np.cumsum([len(at) for at in found])[:-1]) if found else []
-            y += [label] * len(found)
-    y = np.array(y)
     order = np.random.default_rng(SEED).permutation(len(y))
     rows, y = [rows[i] for i in order], y[order]
     held = (np.arange(len(y)) % 4 == 0) & (len(y) >= 40)  # calibrates only
     picked = np.bincount(y, minlength=2)
     cost = COST * len(y) / (2 * picked[y])
-    fitted = np.flatnonzero(~held)
-    w, bias = dual_coordinate_descent([rows[i] for i in fitted], 2 * y[fitted] - 1, ratios, cost[fitted])
+    seen = np.flatnonzero(~held)
+    w, bias = dual_coordinate_descent([rows[i] for i in seen], 2 * y[seen] - 1, ratios, cost[seen])
     model = Model(w * ratios, bias, 1.0, 0.0)
-    calibrate = np.flatnonzero(held) if held.any() else fitted
+    calibrate = np.flatnonzero(held) if held.any() else seen
     margins = np.array([model.margin(rows[i]) for i in calibrate])
     # The sample is balanced, the training rows are not: weigh them back.
     weight = (totals / totals.sum())[y[calibrate]] * len(y) / picked[y[calibrate]]
@@ -219,6 +194,46 @@ def fit(train: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     return model
 
 
+def _fit_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of the model from summed counts and the sample, in any order."""
+    size = 1 << BITS
+    counts, sample = np.zeros((2, size + 1)), []
+    for batch in slices(batches):
+        for y, bucket, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            if bits is None:
+                counts[y, bucket] = n
+            else:
+                sample.append((y, md5(bits).digest(), np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))).astype(np.uint16)))
+    totals = counts[:, -1]
+    if totals.all():
+        sample.sort(key=lambda row: row[:2])
+        model = fitted(counts, [at for _, _, at in sample], np.array([y for y, _, _ in sample]))
+    else:
+        share = (totals[1] + 1) / (totals.sum() + 2)
+        model = Model(np.zeros(size), 0.0, 1.0, float(np.log(share / (1 - share))))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.shift))], ["weights", "bias", "slope", "shift"])
+
+
+def fit(train: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
+    """A model of ``y`` (0 or 1) from ``text``.
+
+    Class counts cover all rows of ``train``.  The hinge-loss fit and its
+    calibration see at most ``max_fit_rows`` of each class, first in order of an
+    MD5 of ``doc_id``.  Rows with another ``y`` are ignored; if a class has no
+    rows, all scores are the share of label 1 (0.5 with no rows at all).  One
+    task fits, on that bounded sample; the driver gets the weights alone.
+    """
+    train = train.where(F.col("y").isin(0, 1)).select(F.col("y").cast("int").alias("y"), "text", "doc_id")
+    seen = written(class_counts_and_sample(train, max_fit_rows), "training")
+    none = F.lit(None).cast("binary").alias("bits")
+    given = seen.where("bucket is not null").groupBy("y", "bucket").agg(F.sum("n").alias("n")).select("y", "bucket", "n", none)  # at most 2 * (2**BITS + 1) rows
+    for label in (0, 1):  # at most max_fit_rows bitmaps of 2**BITS bits
+        given = given.union(seen.where(F.col("bits").isNotNull() & (F.col("y") == label)).select("y", "bucket", "n", "bits").orderBy(F.md5("bits")).limit(max_fit_rows))
+    row = given.coalesce(1).mapInArrow(_fit_in_task, "weights binary, bias double, slope double, shift double").first()
+    return Model(np.frombuffer(row["weights"], float), row["bias"], row["slope"], row["shift"])
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` and ``predicted`` added.
 
