@@ -11,8 +11,8 @@ import re
 from collections.abc import Callable
 
 CATEGORIES = (
-    "agg", "bitwise", "coll", "convert", "create", "date", "diff", "hashing", "json", "label", "map", "math", "meta", "number", "path", "point", "scalar",
-    "scoring", "spatial", "stats", "temporal", "text", "util", "vector", "xml",
+    "agg", "bitwise", "coll", "convert", "create", "date", "diff", "hashing", "json", "label", "map", "math", "merge", "meta", "node", "number", "path", "point", "rel", "scalar",
+    "scoring", "search", "spatial", "stats", "temporal", "text", "util", "vector", "xml",
 )
 
 

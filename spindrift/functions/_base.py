@@ -26,3 +26,13 @@ def items(xs) -> Column:
 def total(arr: Column) -> Column:
     """Sum of an array as double; empty: 0."""
     return F.aggregate(arr, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+
+
+def without(m: Column, keys: Column) -> Column:
+    """A map less some keys."""
+    return F.map_filter(m, lambda k, _: ~F.array_contains(keys, k))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Two maps as one; of a key that both have, ``b``'s value."""
+    return F.map_concat(without(a, F.map_keys(b)), b)

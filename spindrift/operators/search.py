@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,3 +182,16 @@ def fuzzy(nodes: DataFrame, key: str, value: str, most: int) -> DataFrame:
 def suggest(nodes: DataFrame, key: str, prefix: str, k: int = 10) -> DataFrame:
     """Distinct property values that start with a prefix, in order."""
     return nodes.where(F.col(key).startswith(prefix)).select(key).distinct().orderBy(key).limit(k)
+
+
+def did_you_mean(nodes: DataFrame, key: str, wanted: str, distance: int = 2) -> DataFrame:
+    """``suggestion``, ``distance``: the values of a property within an edit distance."""
+    apart = F.levenshtein(F.col(key), F.lit(wanted), distance)  # -1 beyond it
+    return nodes.select(F.col(key).alias("suggestion"), apart.alias("distance")).where("distance >= 0").distinct()
+
+
+def multi_search(graph, labels: list[str], condition) -> DataFrame:
+    """``id``, ``label`` of nodes of several labels that fit; ``condition`` makes
+    a column of a label's table."""
+    found = [t.where(condition(t)).select(F.col("id").cast("string").alias("id"), F.lit(n).alias("label")) for n, t in ((n, graph.nodes(n)) for n in labels)]
+    return reduce(DataFrame.unionAll, found)
