@@ -227,7 +227,8 @@ def fit(train: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     train = train.where(F.col("y").isin(0, 1)).select(F.col("y").cast("int").alias("y"), "text", "doc_id")
     seen = written(class_counts_and_sample(train, max_fit_rows), "training")
     none = F.lit(None).cast("binary").alias("bits")
-    given = seen.where("bucket is not null").groupBy("y", "bucket").agg(F.sum("n").alias("n")).select("y", "bucket", "n", none)  # at most 2 * (2**BITS + 1) rows
+    # At most 2 * (2**BITS + 1) rows.  Written first, or the task that fits would also do the whole sum.
+    given = written(seen.where("bucket is not null").groupBy("y", "bucket").agg(F.sum("n").alias("n")), "class_counts").select("y", "bucket", "n", none)
     for label in (0, 1):  # at most max_fit_rows bitmaps of 2**BITS bits
         given = given.union(seen.where(F.col("bits").isNotNull() & (F.col("y") == label)).select("y", "bucket", "n", "bits").orderBy(F.md5("bits")).limit(max_fit_rows))
     row = given.coalesce(1).mapInArrow(_fit_in_task, "weights binary, bias double, slope double, shift double").first()
