@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import op1_substrings, op2_embeddings, op3_lines, op4_quality, op5_mixing, op6_sharding, op7_html, op8_jaccard, op9_packing, op10_winnowing
+from spindrift.llm import op1_substrings, op2_embeddings, op3_lines, op4_quality, op5_mixing, op6_sharding, op7_html, op8_jaccard, op9_packing, op10_winnowing, op11_trie, op12_bpe, op13_runs
 from spindrift.llm.common import documents
 
 N_SHARDS = 8
@@ -66,9 +66,24 @@ def op10_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op11_trie.conversation_trie(documents(spark, sf_dir, "conversations"), shared_heads=True)
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op12_bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
+    return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op13_runs.find_runs(documents(spark, sf_dir), op13_runs.repeated_tail)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_line_dedup, op4_quality_classifier, op5_source_mixing, op6_sharding_bytes, op7_html_extraction, op8_ngram_jaccard_join, op9_best_fit_packing, op10_winnowing_fingerprints)
+    for f in (op1_substring_dedup, op2_embedding_near_dedup, op3_line_dedup, op4_quality_classifier, op5_source_mixing, op6_sharding_bytes, op7_html_extraction, op8_ngram_jaccard_join, op9_best_fit_packing, op10_winnowing_fingerprints, op11_conversation_trie, op12_bpe_round_trip, op13_periodic_runs)
 }
 
 #: A-Z to a-z alone, as the contracts say; lower() would change other letters.
@@ -178,4 +193,83 @@ SELECT s.doc_id, len(words) AS n_words, len(words) - coalesce(k.n, 0) AS n_remov
 FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op8_ngram_jaccard_join": _OP8, "op3_line_dedup": _OP3, "op5_source_mixing": _OP5}
+#: crc32 of a decimal number: the polynomial taken bit by bit.
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, byte:
+  list_reduce([xor(crc, byte)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+_OP11 = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, t.i, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL
+  SELECT c.conv_id, t.i + 10, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i >= c.h
+), placed AS (
+  SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth, md5(length(role) || ':' || role || text) AS turn FROM rebuilt
+), chained AS (
+  SELECT conv_id, depth, length(text) AS chars, string_agg(turn, ',') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), keyed AS (
+  SELECT conv_id, depth, chars, md5(path) AS node, max(depth) OVER (PARTITION BY conv_id) AS n, lag(md5(path)) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM chained
+), nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256
+  FROM keyed GROUP BY node, depth
+), children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT DISTINCT a.node, b.node AS low FROM keyed a JOIN keyed b ON a.conv_id = b.conv_id AND a.depth <= b.depth
+), sums AS (
+  SELECT b.node, count(*) FILTER (c.node IS NULL) AS n_leaves, sum(x.saved) AS saved_tokens
+  FROM below b JOIN nodes x ON x.node = b.low LEFT JOIN children c ON c.node = b.low GROUP BY b.node
+)
+SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN sums s USING (node) LEFT JOIN children c USING (node) LEFT JOIN nodes p ON p.node = x.parent
+"""
+
+
+def _op13(doublings: int = 16) -> str:
+    """Documents of up to ``4 << doublings`` words.
+
+    A gram of 3 or 4 powers of two, if it is 2 to 3 periods long, next occurs one
+    period later, and nowhere in between: stretches of such places are the runs.
+    The name of a gram is made of two shorter ones.
+    """
+    sql = f"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS words, {_CRC32.format("coalesce(doc_id, 0)")} AS h FROM documents
+), bent AS (
+  SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 AND doc_id IS NOT NULL THEN (h // 10) % len(words) ELSE len(words) END AS a FROM split
+), final AS (
+  SELECT doc_id, d, list_transform(range(0, n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) AS words FROM bent
+), word AS (
+  SELECT d, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM final
+), g1 AS MATERIALIZED (SELECT d, i, md5(word) AS k FROM word)"""
+    join = "SELECT x.d, x.i, md5(x.k || y.k) AS k FROM g{0} x JOIN g{1} y ON y.d = x.d AND y.i = x.i + {0}"
+    runs = []
+    for s in (1 << j for j in range(doublings)):
+        sql += f", g{2 * s} AS MATERIALIZED ({join.format(s, s)})"
+        for gram, table, near in ((3 * s, join.format(2 * s, s), f"q >= {s} AND 2 * q < {3 * s}"), (4 * s, join.format(2 * s, 2 * s), f"2 * q >= {3 * s} AND q < {2 * s}")):
+            runs.append(f"""SELECT d, min(i) AS start, count(*) + q + {gram - 1} AS length, q AS period
+  FROM (SELECT d, i, q, i - row_number() OVER (PARTITION BY d, q ORDER BY i) AS island
+        FROM (SELECT d, i, lead(i) OVER (PARTITION BY d, k ORDER BY i) - i AS q FROM ({table})) WHERE {near})
+  GROUP BY d, q, island HAVING count(*) + q + {gram - 1} >= greatest(6, 4 * q)""")
+    return sql + ", runs AS MATERIALIZED (" + " UNION ALL ".join(runs) + """
+), gone AS (
+  SELECT DISTINCT d, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT w.d, string_agg(word, ' ' ORDER BY w.i) AS text FROM word w ANTI JOIN gone g ON w.d = g.d AND w.i = g.i GROUP BY w.d
+), best AS (
+  SELECT d, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+         first({'s': start, 'l': length, 'p': period} ORDER BY length::DOUBLE / period DESC, start, period) AS top
+  FROM runs GROUP BY d
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period, 1000 * top.l // top.p AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM final f LEFT JOIN best b ON f.d = b.d LEFT JOIN kept k ON f.d = k.d
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op8_ngram_jaccard_join": _OP8, "op3_line_dedup": _OP3, "op5_source_mixing": _OP5, "op11_conversation_trie": _OP11, "op13_periodic_runs": _op13()}
