@@ -1,8 +1,9 @@
 """Graph algorithms as loops of joins and aggregations.
 
 ``nodes`` has ``id``; ``edges`` has ``src``, ``dst``.  Each round pre-aggregates
-by key map-side, so nodes with very many edges are no hot tasks, and is written
-to the shared folder.
+by key map-side and is written to the shared folder.  Where an aggregate is joined
+back with the edges of each node, it is written first: the adaptive skew join
+splits the edges of a hub only if both sides come straight from a shuffle.
 """
 
 from __future__ import annotations
@@ -58,9 +59,10 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     before = digest(e)
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = settled(large, "large")
+        low = settled(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")).select("s.u", "s.v")
         e = settled(small.where("u <> v").distinct(), "stars")
         now = digest(e)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.graph import Graph, Relationships
@@ -79,8 +79,59 @@ def to_tables(graph: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``id``, ``properties``) and relationships (``src``, ``dst``, ``type``,
+    ``properties``) of a GraphML document, in one file or in parts that join to one.
+
+    Elements are found by their tags wherever they stand, so a part needs no root.
+    """
     data = "array<struct<_key:string,_VALUE:string>>"
-    props = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast(data)), lambda d: F.struct(d["_key"], d["_VALUE"])))
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, data {data}").load(path).select(F.col("_id").alias("id"), props.alias("properties"))
-    rels = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, _label string, data {data}").load(path)
+    props = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast(data)), lambda d: F.struct(d["_key"], F.coalesce(d["_VALUE"], F.lit("")))))
+    rows = lambda tag, columns: spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", "true").option("ignoreSurroundingSpaces", "false").schema(f"{columns}, data {data}").load(path)
+    nodes = rows("node", "_id string").where("_id is not null").select(F.col("_id").alias("id"), props.alias("properties"))
+    rels = rows("edge", "_source string, _target string, _label string").where("_source is not null and _target is not null")
     return nodes, rels.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("_label").alias("type"), props.alias("properties"))
+
+
+#: Signs that a document can't hold as they are, and what stands for them (fixed values).
+_ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;"))
+#: Signs that XML 1.0 has no form for.
+_FORBIDDEN = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"
+
+
+def _escaped(text: Column) -> Column:
+    text = F.regexp_replace(text, _FORBIDDEN, "�")
+    for sign, entity in _ENTITIES:
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
+def _properties_xml(properties: Column) -> Column:
+    """``<data>`` elements in order of keys; a null value has none."""
+    entries = F.array_sort(F.filter(F.map_entries(F.coalesce(properties, F.create_map().cast("map<string,string>"))), lambda e: e["value"].isNotNull()))
+    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit('<data key="'), _escaped(e["key"]), F.lit('">'), _escaped(e["value"]), F.lit("</data>"))), "")
+
+
+def write_graphml(nodes: DataFrame, rels: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Nodes (``id``, ``labels``, ``properties``) and relationships (``src``, ``dst``,
+    ``type``, ``properties``) as one GraphML document in parts.
+
+    Every task writes its rows, a line for each; the first part holds the header
+    and the keys, the last the footer, so the parts joined in order of their names
+    are one document.  Labels are the data key ``labels``, joined by colons; signs
+    that XML can't hold become U+FFFD, and rows without an id or an end are left
+    out.  Property names are gathered once; there are few.
+    """
+    spark = nodes.sparkSession
+    labelled = F.map_concat(F.coalesce("properties", F.create_map().cast("map<string,string>")), F.map_filter(F.create_map(F.lit("labels"), F.concat(F.lit(":"), F.array_join("labels", ":"))), lambda _, v: v != ":"))
+    nodes = nodes.where("id is not null").select("id", labelled.alias("properties"))
+    rels = rels.where("src is not null and dst is not null")
+    keys = nodes.select("properties").union(rels.select("properties")).select(F.explode(F.map_keys("properties")).alias("name")).distinct().orderBy("name")
+    quoted = lambda c: _escaped(F.col(c).cast("string"))
+    head = spark.createDataFrame([('<?xml version="1.0" encoding="UTF-8"?>',), ('<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',)], "value string").coalesce(1)
+    declared = keys.coalesce(1).select(F.concat(F.lit('<key id="'), _escaped(F.col("name")), F.lit('" for="all" attr.name="'), _escaped(F.col("name")), F.lit('" attr.type="string"/>')).alias("value"))
+    begin = spark.createDataFrame([('<graph id="G" edgedefault="directed">',)], "value string").coalesce(1)
+    node = nodes.select(F.concat(F.lit('<node id="'), quoted("id"), F.lit('">'), _properties_xml(F.col("properties")), F.lit("</node>")).alias("value"))
+    edge = rels.select(F.concat(F.lit('<edge source="'), quoted("src"), F.lit('" target="'), quoted("dst"), F.lit('" label="'), F.coalesce(quoted("type"), F.lit("")), F.lit('">'), _properties_xml(F.col("properties")), F.lit("</edge>")).alias("value"))
+    end = spark.createDataFrame([("</graph>",), ("</graphml>",)], "value string").coalesce(1)
+    # A union keeps the order of its parts, and files are named by it.
+    head.union(declared).union(begin).union(node).union(edge).union(end).write.mode(mode).text(path)
