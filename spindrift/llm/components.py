@@ -19,8 +19,9 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step.  Minima are pre-aggregated map-side and joined back, one row
-    a vertex, so the adaptive skew join can split the edges of a hub."""
+    """One star step.  Minima are pre-aggregated map-side and joined back, one row a
+    vertex.  The edges of a vertex meet in one task: a join with an aggregate isn't
+    one that the adaptive skew join splits."""
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

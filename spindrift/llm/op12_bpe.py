@@ -65,10 +65,12 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             found = json.load(f)
-        model, steps, cuts = found["model"], found["normalizer"]["normalizers"], found["pre_tokenizer"]["pretokenizers"]
+        model = found["model"]
+        steps, cuts = (found[k] or {} for k in ("normalizer", "pre_tokenizer"))
+        steps, cuts = steps.get("normalizers", []), cuts.get("pretokenizers", [])
         suffix = model.get("end_of_word_suffix")
         plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
-        if model["type"] != "BPE" or not suffix or not plain or found["decoder"] or [s["type"] for s in steps] != _NORMALIZERS or [c["type"] for c in cuts] != _PRE_TOKENIZERS:
+        if model["type"] != "BPE" or not suffix or not plain or found["decoder"] or [x["type"] for x in steps] != _NORMALIZERS or [x["type"] for x in cuts] != _PRE_TOKENIZERS:
             raise ValueError(f"{path} is no file of the kind that this reads")
         ids = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in found["added_tokens"]}
