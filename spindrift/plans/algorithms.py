@@ -84,12 +84,32 @@ def modularity(spark, sf_dir):
     return algorithms.modularity(e, brand).select(F.round("modularity", 8).alias("modularity"))
 
 
-@query()
+@query(_TOGETHER.replace("WITH pairs", "WITH RECURSIVE pairs") + """
+, c(id, core) USING KEY (id) AS (
+  SELECT p_partkey AS id, count(e.src) AS core FROM part LEFT JOIN e ON e.src = p_partkey GROUP BY p_partkey
+  UNION
+  (SELECT n.id, n.h FROM (
+     SELECT id, max(least(core, place)) AS h FROM (
+       SELECT e.src AS id, r.core, row_number() OVER (PARTITION BY e.src ORDER BY r.core DESC) AS place FROM e JOIN recurring.c r ON r.id = e.dst
+       WHERE e.src IN (SELECT e.dst FROM c JOIN e ON e.src = c.id)) GROUP BY id) n
+   JOIN recurring.c o ON o.id = n.id WHERE n.h < o.core)
+)
+SELECT id, core FROM c
+""")
 def core_numbers(spark, sf_dir):
     return algorithms.core_numbers(*_parts(spark, sf_dir))
 
 
-@query()
+def _labels_sql(rounds: int = 20) -> str:
+    """The rounds as one common table after another; after the last change they repeat."""
+    sql = _TOGETHER + ", l0 AS (SELECT p_partkey AS id, p_partkey AS community FROM part)"
+    for i in range(rounds):
+        sql += f""", l{i + 1} AS MATERIALIZED (SELECT l.id, coalesce(b.community, l.community) AS community FROM l{i} l LEFT JOIN (
+          SELECT dst, arg_min(community, (-n, community)) AS community FROM (SELECT dst, community, count(*) AS n FROM e JOIN l{i} x ON x.id = src GROUP BY dst, community) GROUP BY dst) b ON b.dst = l.id)"""
+    return sql + f" SELECT id, community FROM l{rounds}"
+
+
+@query(_labels_sql())
 def label_propagation(spark, sf_dir):
     return algorithms.label_propagation(*_parts(spark, sf_dir))
 
@@ -112,17 +132,40 @@ def _nation_trade(spark, sf_dir):
     return t("nation").select(F.col("n_nationkey").cast("long").alias("id")), e
 
 
-@query()
+_SPARSE = """
+WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM supplier JOIN customer ON s_suppkey = c_custkey WHERE c_nationkey <> s_nationkey),
+v AS (SELECT n_nationkey::BIGINT AS id FROM nation)"""
+_HOPS = """
+, d(s, id, hop) USING KEY (s, id) AS (
+  SELECT id AS s, id, 0 AS hop FROM v
+  UNION
+  (SELECT DISTINCT d.s, g.dst, d.hop + 1 FROM d JOIN {0} g ON g.src = d.id LEFT JOIN recurring.d o ON o.s = d.s AND o.id = g.dst WHERE o.id IS NULL)
+)"""
+
+
+@query(_SPARSE + _HOPS.format("e") + """
+, p AS (
+  SELECT id AS s, id, 0 AS hop, 1.0::DOUBLE AS paths FROM v
+  UNION ALL
+  (SELECT p.s, e.dst, p.hop + 1, sum(p.paths) FROM p JOIN e ON e.src = p.id JOIN d ON d.s = p.s AND d.id = e.dst AND d.hop = p.hop + 1 GROUP BY p.s, e.dst, p.hop)
+), between AS (
+  SELECT a.id, sum(a.paths * b.paths / c.paths) AS score FROM p a JOIN p b ON b.s = a.id JOIN p c ON c.s = a.s AND c.id = b.id AND c.hop = a.hop + b.hop
+  WHERE a.id <> a.s AND a.id <> b.id GROUP BY a.id
+)
+SELECT id, round(coalesce(score, 0) * 2 / ((SELECT count(*) - 1 FROM v) * (SELECT count(*) - 2 FROM v)), 6) AS score FROM v LEFT JOIN between USING (id)
+""")
 def betweenness(spark, sf_dir):
     return algorithms.betweenness(*_nation_trade(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_SPARSE + ", u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)" + _HOPS.format("u") + """
+SELECT v.id, round(coalesce(count(d.id)::DOUBLE * count(d.id) / (sum(hop) * (SELECT count(*) - 1 FROM v)), 0), 6) AS score FROM v LEFT JOIN d ON d.s = v.id AND hop > 0 GROUP BY v.id
+""")
 def closeness(spark, sf_dir):
     return algorithms.closeness(*_nation_trade(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_SPARSE + _HOPS.format("e") + "SELECT a.s AS id, min(a.id) AS component FROM d a JOIN d b ON b.s = a.id AND b.id = a.s GROUP BY a.s")
 def strong_components(spark, sf_dir):
     return algorithms.strong_components(*_nation_trade(spark, sf_dir))
 

@@ -200,7 +200,17 @@ def shortest_path(spark, sf_dir):
     return found.select("start", F.col("id").alias("end"), "hops")
 
 
-@query()
+@query("""
+WITH RECURSIVE sold AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), w AS (
+  SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, round(1e6 / count(*), 3) AS weight FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem l ON l.l_orderkey = o_orderkey
+  JOIN sold ON sold.l_partkey = l.l_partkey JOIN supplier ON s_suppkey = sold.l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL
+), d(id, cost) USING KEY (id) AS (
+  SELECT min(n_nationkey)::BIGINT AS id, 0.0::DOUBLE AS cost FROM nation
+  UNION
+  (SELECT x.id, x.cost FROM (SELECT w.dst AS id, min(d.cost + w.weight) AS cost FROM d JOIN w ON w.src = d.id GROUP BY w.dst) x LEFT JOIN recurring.d o ON o.id = x.id WHERE o.cost IS NULL OR x.cost < o.cost)
+)
+SELECT id, round(cost, 3) AS cost FROM d
+""")
 def cheapest_paths(spark, sf_dir):
     """Dijkstra's costs over price between nations that trade, from the least nation."""
     g = tpch_graph(spark, sf_dir)
