@@ -53,6 +53,12 @@ _AWAY_OUTSIDE = {
     "header", "promotion", "banner", "consent", "notice", "notices", "alert", "subscribe", "signup", "menu", "masthead", "topbar", "reply", "related",
     "recommended", "widget", "widgets", "toolbar", "login", "search", "skip",
 }
+#: Words that say what kind of part it is, not what it is about: in a compound they
+#: may stand beside one of the words above.
+_PART_WORDS = {
+    "area", "bar", "block", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "label", "left", "link", "links",
+    "list", "main", "outer", "page", "panel", "right", "row", "section", "site", "slot", "thread", "top", "bottom", "unit", "wrap", "wrapper",
+}
 
 
 @dataclass
@@ -73,8 +79,21 @@ class Weights:
 Event = tuple[int, str, str, bool]
 
 
-def _away(name: str, rest: str, inside: bool) -> bool:
-    if name in _AWAY or name == "header" and not inside:
+def _named_away(token: str, inside: bool) -> bool:
+    """Whether a class or id says that a part isn't main text.
+
+    Each word of a compound must say so or be about the form of the part, so
+    ``ad-slot`` does and ``share-price`` doesn't.
+    """
+    words = [w for w in re.split(r"[^a-z0-9]+", token) if w and not w.isdigit()]
+    away = _AWAY_WORDS if inside else _AWAY_WORDS | _AWAY_OUTSIDE
+    return any(w in away for w in words) and all(w in _AWAY_WORDS or w in _AWAY_OUTSIDE or w in _PART_WORDS for w in words)
+
+
+def _away(name: str, rest: str, inside: bool, quoted: bool) -> bool:
+    """``inside`` an article or main, ``quoted`` in a block quotation, whose footer is
+    its source."""
+    if name in _AWAY and not (name == "footer" and quoted) or name == "header" and not inside:
         return True
     if name in ("html", "body", "article", "main") or not rest:
         return False
@@ -83,8 +102,7 @@ def _away(name: str, rest: str, inside: bool) -> bool:
         if key == "hidden" or key == "role" and value in _AWAY_ROLES or key == "style" and "display:none" in value.replace(" ", ""):
             return True
         if key in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & _AWAY_WORDS or words & _AWAY_OUTSIDE and not inside:
+            if any(_named_away(token, inside) for token in value.split()):
                 return True
     return False
 
@@ -144,7 +162,7 @@ def events(page: str) -> list[Event]:
             at = end.end() if end else n
             continue
         inside = opened["article"] + opened["main"] > 0
-        stack.append((name, kept and not _away(name, rest, inside), name if name in _BLOCK else state()[2]))
+        stack.append((name, kept and not _away(name, rest, inside, opened["blockquote"] > 0), name if name in _BLOCK else state()[2]))
         opened[name] += 1
     return out
 

@@ -43,6 +43,20 @@ def test_class_words_of_an_articles_own_blocks(spark):
     assert [(r["text"], r["n_chars"], r["id"]) for r in got] == [(ARTICLE_TEXT, len(ARTICLE_TEXT), "k")] * 2
 
 
+def test_compound_classes():
+    """A compound is left out only if all of it says so."""
+    page = "<article><p>begin of it</p>%s<p>end of it</p></article>"
+    part = lambda names: page % f'<div class="{names}"><p>what it holds</p></div>'
+    for names in ("share-price", "social-housing", "footer-note", "modal-verbs", "navigation-history", "search results", "alert", "the share-price", "nav2go"):
+        assert op7_html.main_text(part(names), op7_html.Weights()) == "begin of it\nwhat it holds\nend of it", names
+    for names in ("ad", "ad-slot", "share-buttons", "comment-list", "wide ads", "social_links", "ad-2", "newsletter-signup", "sponsored"):
+        assert op7_html.main_text(part(names), op7_html.Weights()) == "begin of it\nend of it", names
+    quote = page % "<blockquote><p>said so</p><footer>who said it</footer></blockquote>"
+    assert op7_html.main_text(quote, op7_html.Weights()) == "begin of it\nsaid so\nwho said it\nend of it"
+    outside = '<div class="site-footer"><p>all rights</p></div><div class="cookie-banner"><p>we use them</p></div>' + page % ""
+    assert op7_html.main_text(outside, op7_html.Weights()) == "begin of it\nend of it"
+
+
 def test_deep_nesting_takes_linear_time():
     start = time.monotonic()
     assert op7_html.main_text("<b>" * 100_000 + "word" + "</i>" * 100_000, op7_html.Weights()) == "word"
