@@ -165,7 +165,10 @@ def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 10) -> DataFrame:
 def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id``, ``triangles``.  Edges point from the end of lower degree, so a
     node of very high degree starts few paths."""
-    e = _undirected(edges)
+    return _triangles(nodes, settled(_undirected(edges), "edges"))
+
+
+def _triangles(nodes: DataFrame, e: DataFrame) -> DataFrame:
     d = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
     o = e.join(d.select(F.col("id").alias("src"), F.col("d").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("d").alias("dd")), "dst")
     o = settled(o.where("ds < dd or (ds = dd and src < dst)").select("src", "dst"), "oriented")
@@ -178,8 +181,9 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id``, ``triangles``, ``coefficient``: triangles of those its pairs of
     neighbours could make."""
-    d = _undirected(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
-    return triangles(nodes, edges).join(d, "id", "left").select("id", "triangles", F.coalesce(F.try_divide(2 * F.col("triangles"), F.col("d") * (F.col("d") - 1)), F.lit(0.0)).alias("coefficient"))
+    e = settled(_undirected(edges), "edges")
+    d = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    return _triangles(nodes, e).join(d, "id", "left").select("id", "triangles", F.coalesce(F.try_divide(2 * F.col("triangles"), F.col("d") * (F.col("d") - 1)), F.lit(0.0)).alias("coefficient"))
 
 
 def core_numbers(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:

@@ -26,6 +26,8 @@ def _seeds(starts: DataFrame) -> DataFrame:
 def neighbors_by_hop(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """``start``, ``id``, ``hop``: nodes first reached after 1 to ``hops`` hops."""
     e = edges.select("src", "dst").distinct()
+    if hops > 1:
+        e = settled(e, "edges")
     frontier = _seeds(starts)
     seen = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from spindrift.plans import algorithms, elements, functions, patterns, routes, search, temporal  # noqa: E402, F401
+from spindrift.plans import algorithms, elements, functions, inspect, patterns, routes, search, temporal  # noqa: E402, F401
