@@ -234,13 +234,17 @@ def _levels(edges: DataFrame, sources: DataFrame, most: int | None) -> list[Data
         seen = seen.union(level.select("s", "id"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, most_hops: int | None = None) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, most_hops: int | None = None, sources: DataFrame | None = None) -> DataFrame:
     """``id``, ``score``: shortest outgoing paths through a node, scaled by
     2 / ((n - 1)(n - 2)).  Dependencies flow back level by level.  Paths of any
-    length count; over ``most_hops``, if given, is an error."""
+    length count; over ``most_hops``, if given, is an error.
+
+    Every node is a start, which takes a row for each pair of nodes that are
+    connected; ``sources`` (``id``), a stated set, bounds that, and only paths from
+    them count then, in the same scale."""
     e = settled(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     n = nodes.count()
-    levels = _levels(e, nodes, most_hops)
+    levels = _levels(e, nodes if sources is None else sources, most_hops)
     share = None
     sums = []
     for depth in range(len(levels) - 1, 0, -1):
@@ -258,18 +262,19 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most_hops: int | None = None
     return nodes.select("id").join(total.groupBy("id").agg(F.sum("d").alias("d")), "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("score"))
 
 
-def closeness(nodes: DataFrame, edges: DataFrame, most_hops: int | None = None) -> DataFrame:
+def closeness(nodes: DataFrame, edges: DataFrame, most_hops: int | None = None, sources: DataFrame | None = None) -> DataFrame:
     """``id``, ``score``: reached squared over total distance times n - 1,
     edges taken both ways.  Paths of any length count; over ``most_hops``, if
-    given, is an error."""
+    given, is an error.  With ``sources`` (``id``), a stated set, only theirs."""
     e = settled(_undirected(edges), "edges")
     n = nodes.count()
     far = None
-    for hop, level in enumerate(_levels(e, nodes, most_hops)):
+    asked = nodes if sources is None else sources
+    for hop, level in enumerate(_levels(e, asked, most_hops)):
         d = level.select("s", F.lit(hop).alias("hop"))
         far = d if far is None else far.union(d)
     sums = far.where("hop > 0").groupBy(F.col("s").alias("id")).agg(F.count("*").alias("reached"), F.sum("hop").alias("total"))
-    return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce(F.try_divide(F.col("reached") * F.col("reached"), F.col("total") * F.lit(max(1, n - 1))), F.lit(0.0)).alias("score"))
+    return asked.select("id").join(sums, "id", "left").select("id", F.coalesce(F.try_divide(F.col("reached") * F.col("reached"), F.col("total") * F.lit(max(1, n - 1))), F.lit(0.0)).alias("score"))
 
 
 def fast_rp(nodes: DataFrame, edges: DataFrame, dimension: int = 64, weights=(0.0, 1.0, 1.0, 1.0), seed: int = 42) -> DataFrame:

@@ -144,3 +144,16 @@ def test_search_tokens(spark):
     text = "We had what YOU do: é x9 ½ 5 They've been here, which was how"
     got = spark.range(1).select(search.tokens(F.lit(text)).alias("t")).first()["t"]
     assert got == ["had", "what", "é", "x9", "ve", "here", "which", "how"]
+
+
+def test_stated_sources(spark):
+    """Betweenness over all sources is the sum over parts of them; closeness is each one's own."""
+    rnd = random.Random(6)
+    edges = spark.createDataFrame(sorted({(rnd.randrange(10), rnd.randrange(10)) for _ in range(24)}), "src long, dst long")
+    nodes = spark.range(10).toDF("id")
+    parts = [nodes.where("id < 4"), nodes.where("id >= 4")]
+    whole = column(algorithms.betweenness(nodes, edges), "score")
+    some = [column(algorithms.betweenness(nodes, edges, sources=p), "score") for p in parts]
+    assert whole == pytest.approx({i: some[0][i] + some[1][i] for i in whole}) and any(whole.values())
+    near = column(algorithms.closeness(nodes, edges), "score")
+    assert column(algorithms.closeness(nodes, edges, sources=parts[0]), "score") == pytest.approx({i: near[i] for i in range(4)})
