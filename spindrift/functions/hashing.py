@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,21 +48,24 @@ def crc32(x) -> Column:
 
 
 def _fnv(x, bits: int, xor_first: bool) -> Column:
-    prime, start = (16777619, 2166136261) if bits == 32 else (1099511628211, 14695981039346656037)
-    mask = (1 << bits) - 1
+    """Byte by byte over all values of a batch at once."""
+    kind, prime, start = (np.uint32, 16777619, 2166136261) if bits == 32 else (np.uint64, 1099511628211, 14695981039346656037)
 
     def run(s: pd.Series) -> pd.Series:
         from decimal import Decimal
 
-        def one(v):
-            if v is None:
-                return None
-            h = start
-            for b in v.encode():
-                h = ((h ^ b) * prime if xor_first else (h * prime) ^ b) & mask
-            return Decimal(h)
-
-        return s.map(one)
+        raw = [v.encode() for v in s.dropna()]
+        size = np.array([len(r) for r in raw], np.int64)
+        at, data = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8)
+        h, left = np.full(len(raw), start, kind), np.argsort(-size, kind="stable")
+        with np.errstate(over="ignore"):
+            for i in range(int(size.max(initial=0))):
+                left = left[: np.searchsorted(-size[left], -i)]  # those longer than i
+                byte = data[at[left] + i].astype(kind)
+                h[left] = (h[left] ^ byte) * kind(prime) if xor_first else (h[left] * kind(prime)) ^ byte
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        out[s.notna()] = [Decimal(v) for v in h.tolist()]
+        return out
 
     return F.pandas_udf(run, "decimal(20,0)")(_text(x))
 
@@ -116,3 +120,25 @@ def consistent_hash(x, buckets: int) -> Column:
 def rendezvous_hash(x, nodes: list[str]) -> Column:
     """The node whose hash with the key is greatest: few keys move when nodes come or go."""
     return F.array_max(F.array(*(F.struct(F.xxhash64(_text(x), F.lit(n)).alias("h"), F.lit(n).alias("node")) for n in nodes)))["node"]
+
+
+def jump_hash(key, buckets: int) -> Column:
+    """The bucket of a whole number; when there is one bucket more, keys move only to
+    it.  Null keys have none; under one bucket the result is -1."""
+
+    def run(s: pd.Series) -> pd.Series:
+        h = s.dropna().to_numpy("int64").view(np.uint64)
+        bucket, jump = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        left = np.flatnonzero(jump < buckets)
+        with np.errstate(over="ignore"):
+            h = h.copy()
+            while len(left):
+                bucket[left] = jump[left]
+                h[left] = h[left] * np.uint64(2862933555777941757) + np.uint64(1)
+                jump[left] = ((bucket[left] + 1) * (float(1 << 31) / ((h[left] >> np.uint64(33)) + np.uint64(1)).astype(np.float64))).astype(np.int64)
+                left = left[jump[left] < buckets]
+        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+        out[s.notna()] = bucket
+        return out
+
+    return F.pandas_udf(run, "long")(col(key).cast("long"))

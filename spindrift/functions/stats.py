@@ -98,3 +98,19 @@ def summary(x) -> Column:
     c = col(x)
     return F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("stdev"), F.min(c).alias("min"), F.percentile(c, 0.25).alias("q1"),
                     F.median(c).alias("median"), F.percentile(c, 0.75).alias("q3"), F.max(c).alias("max"))
+
+
+def histogram_bin(x, bins: int, *keys) -> Column:
+    """The bin, from 0, of each value among ``bins`` of one width between the least and
+    the greatest of its group; the greatest is in the last.  All alike: bin 0."""
+    w = Window.partitionBy(*map(col, keys))
+    low, high = F.min(col(x)).over(w), F.max(col(x)).over(w)
+    at = F.floor(F.try_divide(col(x) - low, (high - low) / F.lit(float(bins))))
+    return F.when(col(x).isNotNull(), F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1))).cast("int")
+
+
+def outlier(x, *keys, reach: float = 1.5) -> Column:
+    """Whether a value lies more than ``reach`` times the middle half's width outside it."""
+    w = Window.partitionBy(*map(col, keys))
+    low, high = F.percentile(col(x), 0.25).over(w), F.percentile(col(x), 0.75).over(w)
+    return (col(x) < low - reach * (high - low)) | (col(x) > high + reach * (high - low))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindrift.functions import stats
 from spindrift.operators import algorithms, inspection
 from spindrift.plans import query
 from spindrift.plans.patterns import _NEXT, next_orders
@@ -55,6 +56,24 @@ def relationship_orphans(spark, sf_dir):
     return inspection.orphans(tpch_graph(spark, sf_dir))
 
 
+@query("""
+WITH x AS (SELECT event_type, value, min(value) OVER w AS low, max(value) OVER w AS high FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type))
+SELECT event_type, least(floor((value - low) / ((high - low) / 10.0::DOUBLE)), 9)::INTEGER AS bin, count(*) AS n FROM x GROUP BY 1, 2
+""")
+def value_histogram(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
+    return e.select("event_type", stats.histogram_bin("value", 10, "event_type").alias("bin")).groupBy("event_type", "bin").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY event_type)
+SELECT event_id, e.event_type, value FROM events e JOIN q ON e.event_type = q.event_type WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)
+""")
+def value_outliers(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
+    return e.withColumn("far", stats.outlier("value", "event_type")).where("far").drop("far")
+
+
 def _ranks_sql(rounds: int = 20) -> str:
     """The rounds as one common table after another; the last order of each customer has no next."""
     sql = _NEXT + ", n AS (SELECT count(*) AS n FROM orders), r0 AS (SELECT o_orderkey AS id, 1.0::DOUBLE / n AS s FROM orders, n)"
