@@ -3,10 +3,13 @@
 import itertools
 import random
 from collections import Counter
+from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
-from spindrift.operators import algorithms
+from spindrift.operators import algorithms, inference
 
 
 def _joins(df):
@@ -23,3 +26,36 @@ def test_triangles_without_paths_of_two_edges(spark, monkeypatch, name):
     found = algorithms.triangles(spark.createDataFrame([(name(i),) for i in range(42)], ["id"]), df)
     assert {r["id"]: r["triangles"] for r in found.collect()} == {name(i): want[i] for i in range(42)}
     assert _joins(found) == 1  # with the nodes alone
+
+
+def _events(rnd, n, keys):
+    begin = datetime(2024, 1, 1)
+    return [(rnd.randrange(keys), begin + timedelta(seconds=rnd.randrange(3000) // 10 * 10)) for _ in range(n)]
+
+
+def _near(events, seconds):
+    return Counter((min(a, b), max(a, b)) for (a, t), (b, u) in itertools.combinations(events, 2) if a != b and abs((t - u).total_seconds()) <= seconds)
+
+
+def test_co_access_without_pairs_of_accesses(spark, monkeypatch):
+    monkeypatch.setattr(inference, "KEYS_A_GROUP", 3)
+    events = _events(random.Random(6), 300, 30)
+    df = spark.createDataFrame([*events, (None, events[0][1]), (1, None)], "node long, ts timestamp")
+    found = inference.co_access_edges(df, seconds=30, least=2)
+    assert {(r["a"], r["b"]): r["n"] for r in found.collect()} == {p: n for p, n in _near(events, 30).items() if n >= 2}
+    assert _joins(found) == 0
+
+
+def test_co_access_counts_in_parts(monkeypatch):
+    monkeypatch.setattr(inference, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(inference, "COUNTS_AT_ONCE", 20)
+    events = _events(random.Random(7), 200, 12)
+    group = pa.table({"k": [k for k, _ in events], "t": pa.array([int(t.timestamp() * 1e6) for _, t in events]), "g": pa.array([k % 2 for k, _ in events], pa.int32())})
+    found = {}
+    for one, two in ((0, 0), (0, 1), (1, 1)):
+        mine = group.filter(pa.compute.is_in(group["g"], pa.array([one, two], pa.int32())))
+        for batch in inference._near_in_time(mine, one, two, 30_000_000, 1):
+            for r in batch.to_pylist():
+                assert (r["a"], r["b"]) not in found
+                found[r["a"], r["b"]] = r["n"]
+    assert found == dict(_near(events, 30))
