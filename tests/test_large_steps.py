@@ -59,3 +59,25 @@ def test_co_access_counts_in_parts(monkeypatch):
                 assert (r["a"], r["b"]) not in found
                 found[r["a"], r["b"]] = r["n"]
     assert found == dict(_near(events, 30))
+
+
+def test_closeness_by_bits(spark):
+    rnd = random.Random(8)
+    edges = [(a, b) for a, b in ((rnd.randrange(150), rnd.randrange(150)) for _ in range(260)) if a != b]
+    near = {i: set() for i in range(150)}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for s in range(150):
+        hops, todo = {s: 0}, [s]
+        for x in todo:
+            for y in near[x] - set(hops):
+                hops[y] = hops[x] + 1
+                todo.append(y)
+        want[s] = (len(hops) - 1) ** 2 / (sum(hops.values()) * 149) if len(hops) > 1 else 0.0
+    df, nodes = spark.createDataFrame(edges, "src long, dst long"), spark.range(150)
+    found = {r["id"]: r["score"] for r in algorithms.closeness(nodes, df).collect()}
+    assert found == pytest.approx(want)
+    starts = spark.createDataFrame([(i,) for i in range(150)], "id long")
+    assert algorithms._numbered(starts).select("block").distinct().count() == 3  # rows a node, not 150
