@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pytest
 
-from spindrift.operators import algorithms, inference
+from spindrift.operators import algorithms, inference, paths
 
 
 def _joins(df):
@@ -81,3 +81,13 @@ def test_closeness_by_bits(spark):
     assert found == pytest.approx(want)
     starts = spark.createDataFrame([(i,) for i in range(150)], "id long")
     assert algorithms._numbered(starts).select("block").distinct().count() == 3  # rows a node, not 150
+
+
+def test_k_shortest_looks_no_further_than_its_hops(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)] + [(0, 2, 5.0)], "src long, dst long, weight double")
+    reached = []
+    plain = paths.costs_from
+    monkeypatch.setattr(paths, "costs_from", lambda *a: reached.append(plain(*a)) or reached[-1])
+    found = paths.k_shortest(chain, spark.createDataFrame([(0, 3), (0, 30)], "start long, end long"), 3, most_hops=3)
+    assert sorted((r["end"], r["cost"], r["nodes"]) for r in found.collect()) == [(3, 3.0, [0, 1, 2, 3]), (3, 6.0, [0, 2, 3])]
+    assert reached[0].count() == 7  # within two hops of either end: 3, 2, 1, 0 and 30, 29, 28
