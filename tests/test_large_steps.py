@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pytest
@@ -91,3 +92,19 @@ def test_k_shortest_looks_no_further_than_its_hops(spark, monkeypatch):
     found = paths.k_shortest(chain, spark.createDataFrame([(0, 3), (0, 30)], "start long, end long"), 3, most_hops=3)
     assert sorted((r["end"], r["cost"], r["nodes"]) for r in found.collect()) == [(3, 3.0, [0, 1, 2, 3]), (3, 6.0, [0, 2, 3])]
     assert reached[0].count() == 7  # within two hops of either end: 3, 2, 1, 0 and 30, 29, 28
+
+
+def test_fast_rp_by_a_plain_version(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (1, 4), (2, 4)]
+    df, nodes = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+    near = {i: [b for a, b in edges if a == i] + [a for a, b in edges if b == i] for i in range(1, 6)}
+    first = algorithms.fast_rp(nodes, df.where("false"), 8, weights=(1.0,))
+    now = {r["id"]: np.sign(r["embedding"]) for r in first.collect()}
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v * 0
+    total = {i: v * 0 for i, v in now.items()}
+    for w in (1.0, 0.5):
+        now = {i: unit(np.mean([now[j] for j in near[i]], axis=0)) if near[i] else now[i] * 0 for i in now}
+        total = {i: total[i] + w * now[i] for i in now}
+    found = {r["id"]: r["embedding"] for r in algorithms.fast_rp(nodes, df, 8, weights=(0.0, 1.0, 0.5)).collect()}
+    for i in total:
+        assert found[i] == pytest.approx(list(unit(total[i])), abs=1e-9)
