@@ -94,6 +94,16 @@ def test_k_shortest_looks_no_further_than_its_hops(spark, monkeypatch):
     assert reached[0].count() == 7  # within two hops of either end: 3, 2, 1, 0 and 30, 29, 28
 
 
+def test_a_star_opens_few_nodes(spark):
+    n = 400  # on a line, every node joined to the others within ten: the mean weight spans half of what lies between
+    edges = [(a, b, float(abs(a - b)) + 1) for a in range(n) for b in range(max(0, a - 10), min(n, a + 11)) if a != b] + [(a, (a * 7 + 200) % n, float(abs(a - (a * 7 + 200) % n)) + 1) for a in range(n)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i, float(i), 0.0) for i in range(n)], "id long, x double, y double")
+    found, settled = paths.a_star(df, nodes, spark.createDataFrame([(200, 203)], "start long, end long"))
+    assert [(r["cost"], r["nodes"]) for r in found.collect()] == [(4.0, [200, 203])]
+    assert settled.count() < 10
+
+
 def test_fast_rp_by_a_plain_version(spark):
     edges = [(1, 2), (2, 3), (3, 4), (1, 4), (2, 4)]
     df, nodes = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
