@@ -118,3 +118,20 @@ def test_fast_rp_by_a_plain_version(spark):
     found = {r["id"]: r["embedding"] for r in algorithms.fast_rp(nodes, df, 8, weights=(0.0, 1.0, 0.5)).collect()}
     for i in total:
         assert found[i] == pytest.approx(list(unit(total[i])), abs=1e-9)
+
+
+def test_similarity_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(inference, "VECTORS_A_CELL", 40)
+    rnd = random.Random(9)
+    kinds = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(60)]
+    rows = {i: kinds[i % 60] for i in range(150)} | {150: None, 151: [0.0] * 6, 152: [1.0, 2.0], 153: [2.0, 4.0]}
+    df = spark.createDataFrame(list(rows.items()), "id long, embedding array<double>")
+    found = inference.similarity_edges(df.where("id % 10 < 3"), df, k=5, least=0.3)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["src"], []).append((-round(r["score"], 9), r["dst"]))
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows.items() if v and any(v)}
+    for s in (i for i in rows if i % 10 < 3):
+        want = sorted((-round(float(unit[s] @ u), 9), i) for i, u in unit.items() if s in unit and i != s and len(u) == len(unit[s]) and unit[s] @ u >= 0.3)
+        assert sorted(got.get(s, [])) == want[:5]
+    assert _joins(found) == 0
