@@ -10,7 +10,10 @@ import pyarrow as pa
 import pyarrow.compute
 import pytest
 
+from pyspark.sql import functions as F
+
 from spindrift.operators import algorithms, inference, paths
+from spindrift.plans import patterns
 
 
 def _joins(df):
@@ -135,3 +138,31 @@ def test_similarity_in_cells(spark, monkeypatch):
         want = sorted((-round(float(unit[s] @ u), 9), i) for i, u in unit.items() if s in unit and i != s and len(u) == len(unit[s]) and unit[s] @ u >= 0.3)
         assert sorted(got.get(s, [])) == want[:5]
     assert _joins(found) == 0
+
+
+def test_disjoint_paths_use_only_edges_that_can_carry_flow(spark, monkeypatch):
+    """A chain of 300 nodes that leads nowhere, and one that nothing leads to, hang on a small graph."""
+    small = [(1, 2), (2, 9), (1, 3), (3, 9), (1, 4), (4, 2)]
+    away = [(2, 1000)] + [(i, i + 1) for i in range(1000, 1006)] + [(2000 + i, 2001 + i) for i in range(6)] + [(2006, 3)] + [(3000 + i, 4000 + i) for i in range(300)]
+    used = []
+    plain = paths._flows
+    monkeypatch.setattr(paths, "_flows", lambda e, *a: used.append(e.count()) or plain(e, *a))
+    df = spark.createDataFrame(small + away, "src long, dst long")
+    found = paths.disjoint_paths(df, spark.createDataFrame([(1, 9), (9, 1)], "start long, end long"))
+    assert sorted(r["nodes"] for r in found.collect()) == [[1, 2, 9], [1, 3, 9]]
+    assert used == [len(small)]
+
+
+@pytest.mark.parametrize("name, want", [("neighbors_by_hop", [(2, 1), (3, 2), (4, 3)]), ("shortest_path", [(1, 6, 5)])])
+def test_hops_read_pairs_that_were_made_once(spark, monkeypatch, name, want):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long", useArrow=False)
+    def seen(x):
+        made.add(1)
+        return x
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 6)], "src long, dst long")
+    monkeypatch.setattr(patterns, "bought_together", lambda g: edges.select(seen.asNondeterministic()("src").alias("src"), "dst"))
+    assert sorted(map(tuple, getattr(patterns, name)(spark, "/root/testdata/sf0.001").collect())) == want
+    assert made.value == 5
