@@ -12,7 +12,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import algorithms, inference, paths
+from spindrift.graph import Graph, Relationships
+from spindrift.operators import algorithms, ann, inference, inspection, neighborhood, parts, paths, refactor
 from spindrift.plans import patterns
 
 
@@ -166,3 +167,27 @@ def test_hops_read_pairs_that_were_made_once(spark, monkeypatch, name, want):
     monkeypatch.setattr(patterns, "bought_together", lambda g: edges.select(seen.asNondeterministic()("src").alias("src"), "dst"))
     assert sorted(map(tuple, getattr(patterns, name)(spark, "/root/testdata/sf0.001").collect())) == want
     assert made.value == 5
+
+
+@pytest.mark.parametrize("size", [40, 2_000_000])
+def test_rounds_over_parts(spark, monkeypatch, size):
+    """Cores, labels and moves don't depend on how edges are dealt, and no edge is joined in a round."""
+    monkeypatch.setattr(parts, "EDGES_A_PART", size)
+    monkeypatch.setattr(parts, "A_ROW", 7)
+    rnd = random.Random(13)
+    edges = {tuple(sorted(rnd.sample(range(50), 2))) for _ in range(200)}
+    near = {i: [b for a, b in edges if a == i] + [a for a, b in edges if b == i] for i in range(52)}
+    df, nodes = spark.createDataFrame(list(edges), "src long, dst long"), spark.range(52)
+    core = {i: len(n) for i, n in near.items()}
+    while True:
+        new = {i: max((min(core[x], k + 1) for k, x in enumerate(sorted(n, key=lambda y: -core[y]))), default=0) for i, n in near.items()}
+        if new == core:
+            break
+        core = new
+    assert {r["id"]: r["core"] for r in algorithms.core_numbers(nodes, df).collect()} == core
+    label = {i: i for i in near}
+    for _ in range(4):
+        votes = {i: Counter(label[x] for x in n) for i, n in near.items()}
+        label = {i: min(v, key=lambda c: (-v[c], c)) if v else i for i, v in votes.items()}
+    assert {r["id"]: r["community"] for r in algorithms.label_propagation(nodes, df, 4).collect()} == label
+    assert algorithms.louvain(nodes, df).count() == 52
