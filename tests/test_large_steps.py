@@ -191,3 +191,15 @@ def test_rounds_over_parts(spark, monkeypatch, size):
         label = {i: min(v, key=lambda c: (-v[c], c)) if v else i for i, v in votes.items()}
     assert {r["id"]: r["community"] for r in algorithms.label_propagation(nodes, df, 4).collect()} == label
     assert algorithms.louvain(nodes, df).count() == 52
+
+
+def test_search_by_index_can_be_complete(spark, tmp_path):
+    rnd = random.Random(12)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(12)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    index = ann.VectorIndex.build(df, str(tmp_path / "index"), settings=ann.Settings(links=2, candidates=2))
+    asked, plain = df.where("id % 20 = 0"), lambda f: sorted((r["src"], r["dst"], round(r["score"], 9)) for r in f.collect())
+    want = plain(inference.similarity_edges(asked, df, k=5, least=-1.0))
+    some = inference.similarity_edges_by_index(index, asked, df, k=5, least=-1.0, width=6)
+    assert plain(some) != want  # the search alone misses some
+    assert plain(inference.similarity_edges_by_index(index, asked, df, k=5, least=-1.0, width=6, complete=True)) == want
