@@ -203,3 +203,22 @@ def test_search_by_index_can_be_complete(spark, tmp_path):
     some = inference.similarity_edges_by_index(index, asked, df, k=5, least=-1.0, width=6)
     assert plain(some) != want  # the search alone misses some
     assert plain(inference.similarity_edges_by_index(index, asked, df, k=5, least=-1.0, width=6, complete=True)) == want
+
+
+def _tasks(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    """Of fixed shuffles, a task would grow with its input."""
+    for module in (inspection, neighborhood, refactor):
+        monkeypatch.setattr(module, "ROWS_A_TASK", 100)
+    rels = spark.range(1000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("X").alias("type"))
+    ways = refactor.bypasses(rels, rels, rels.select(F.col("dst").alias("id")))
+    assert ways.count() == 999 and _tasks(ways) == 20
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (5, 9), (1000, 999), (7, 7), (None, 3)], "a long, b long")
+    assert sorted((r["a"] or 0, r["b"], r["connected"]) for r in neighborhood.connected(pairs, rels).collect()) == [(0, 3, False), (1, 2, True), (2, 1, True), (5, 9, False), (7, 7, False), (1000, 999, True)]
+    graph = Graph(spark, {"N": spark.range(1000)}, {"X": Relationships(rels, "N", "N")})
+    missing = inspection.orphans(graph)
+    assert [tuple(r) for r in missing.collect()] == [("X", "dst", "1000", 1)] and _tasks(missing) >= 10
+    assert "RepartitionByExpression [src" in inspection.analyze(rels, exact=True)._jdf.queryExecution().analyzed().toString()
