@@ -12,6 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.iterate import dealt
+
+#: Relationships that one task takes up.
+ROWS_A_TASK = 400_000
+
 
 def relationships(rels: DataFrame, direction: str = "both", types: Sequence[str] = ()) -> DataFrame:
     """``id``, ``other``, ``type``: each relationship seen from its ends; a loop
@@ -40,8 +45,15 @@ def relationship_exists(nodes: DataFrame, rels: DataFrame, direction: str = "bot
 
 
 def connected(pairs: DataFrame, rels: DataFrame, types: Sequence[str] = ()) -> DataFrame:
-    """Pairs ``a``, ``b`` with ``connected``: whether one relationship joins them, either way."""
-    seen = neighbors(rels, "both", types).select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(True).alias("connected"))
+    """Pairs ``a``, ``b`` with ``connected``: whether one relationship joins them, either way.
+
+    Relationships are dealt by their ends into as many tasks as they need, and only
+    those between ends that were asked for are gathered."""
+    some = rels.where(F.col("type").isin(list(types))) if types else rels
+    tasks = dealt(rels, ROWS_A_TASK)
+    ends = lambda df, a, b: df.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).repartition(tasks, "low", "high")
+    seen = ends(some, "src", "dst").join(ends(pairs, "a", "b"), ["low", "high"], "left_semi").distinct()
+    seen = seen.select("low", "high", F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("high").alias("b")), F.struct(F.col("high").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").distinct().withColumn("connected", F.lit(True))
     return pairs.join(seen, ["a", "b"], "left").withColumn("connected", F.coalesce("connected", F.lit(False)))
 
 
