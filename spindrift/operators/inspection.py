@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from spindrift.graph import Graph
+from spindrift.operators.iterate import dealt
 
+#: Rows of a table that one task takes up.
+ROWS_A_TASK = 200_000
 _SCHEMA = "kind string, name string, property string, type string"
 
 
@@ -56,8 +59,11 @@ def analyze(table: DataFrame, exact: bool = False) -> DataFrame:
 
     One aggregation over one scan: ``different`` is an estimate unless ``exact``, which
     shuffles every column's values.  Extremes are strings, and null for nested
-    columns, whose different values count by their JSON.
+    columns, whose different values count by their JSON.  Rows are dealt by a hash of
+    their plain columns first, so a task holds the values of a bounded number.
     """
+    plain = [f"`{f.name}`" for f in table.schema.fields if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    table = table.repartition(dealt(table, ROWS_A_TASK), *plain)
     aggregates, entries = [F.count(F.lit(1)).alias("rows")], []
     for i, f in enumerate(table.schema.fields):
         c = F.col(f"`{f.name}`")
@@ -96,11 +102,14 @@ def compare(one: Graph, other: Graph) -> DataFrame:
 def orphans(graph: Graph) -> DataFrame:
     """``type``, ``end``, ``id``, ``n``: ends of relationships whose node isn't there, with
     the number of relationships; null ends too.  Types that don't name a label at
-    an end aren't looked at there."""
+    an end aren't looked at there.  Both sides are dealt by id into as many tasks as
+    the nodes need."""
     parts = []
     for name, r in graph.types.items():
         for end, label in (("src", r.source), ("dst", r.target)):
             if label in graph.labels:
-                missing = r.table.select(F.col(end).alias("id")).groupBy("id").agg(F.count("*").alias("n")).join(graph.labels[label].select("id"), "id", "left_anti")
+                tasks = dealt(graph.labels[label], ROWS_A_TASK)
+                ends = r.table.select(F.col(end).alias("id")).repartition(tasks, "id").groupBy("id").agg(F.count("*").alias("n"))
+                missing = ends.join(graph.labels[label].select("id").repartition(tasks, "id"), "id", "left_anti")
                 parts.append(missing.select(F.lit(name).alias("type"), F.lit(end).alias("end"), F.col("id").cast("string").alias("id"), "n"))
     return reduce(DataFrame.union, parts) if parts else graph.spark.createDataFrame([], "type string, end string, id string, n long")
