@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from spindrift.graph import Graph
 from spindrift.operators import writes
+from spindrift.operators.iterate import dealt
+
+#: Relationships that one task takes up.
+ROWS_A_TASK = 400_000
 
 
 def merge_relationships(rels: DataFrame, order: str) -> DataFrame:
@@ -29,10 +33,12 @@ def clone_nodes(graph: Graph, label: str, new_id: Column, condition: Column | No
 
 def bypasses(incoming: DataFrame, outgoing: DataFrame, ids: DataFrame) -> DataFrame:
     """``src``, ``dst``, ``via``: what leads into a node of ``ids`` joined with
-    what leads out.  The result has a row for each way through a node."""
-    gone = ids.select(F.col("id").alias("via")).distinct()
-    into = incoming.select("src", F.col("dst").alias("via")).join(gone, "via", "left_semi")
-    return into.join(outgoing.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst", "via")
+    what leads out.  The result has a row for each way through a node.  All are dealt
+    by that node into as many tasks as what leads in and out needs."""
+    tasks = dealt(incoming, ROWS_A_TASK) + dealt(outgoing, ROWS_A_TASK)
+    gone = ids.select(F.col("id").alias("via")).repartition(tasks, "via").distinct()
+    into = incoming.select("src", F.col("dst").alias("via")).repartition(tasks, "via").join(gone, "via", "left_semi")
+    return into.join(outgoing.select(F.col("src").alias("via"), "dst").repartition(tasks, "via"), "via").select("src", "dst", "via")
 
 
 def collapse_nodes(graph: Graph, label: str, ids: DataFrame, into: str, out: str, type_: str) -> Graph:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.graph import Graph
+from spindrift.operators.iterate import dealt
+
+#: Nodes of a label that one task takes up.
+ROWS_A_TASK = 200_000
 
 
 def create_nodes(graph: Graph, label: str, rows: DataFrame) -> Graph:
@@ -56,15 +60,17 @@ def remove_properties(graph: Graph, label: str, condition: Column, *names: str)
 
 def delete_nodes(graph: Graph, label: str, ids: DataFrame, detach: bool = False) -> Graph:
     """Nodes go; with ``detach`` their relationships too.  Without it,
-    relationships that would dangle are an error."""
-    gone = ids.select("id").distinct()
+    relationships that would dangle are an error.  Both sides are dealt by node into
+    as many tasks as the label's nodes need."""
+    tasks = dealt(graph.labels[label], ROWS_A_TASK)
+    gone = ids.select("id").repartition(tasks, "id").distinct()
     out = graph.with_label(label, graph.labels[label].join(gone, "id", "left_anti"))
     for name, r in graph.types.items():
         for end, at in (("src", r.source), ("dst", r.target)):
             if at == label:
                 table = out.types[name].table
                 if detach:
-                    out = out.with_type(name, table.join(gone.withColumnRenamed("id", end), end, "left_anti").select(*table.columns))
+                    out = out.with_type(name, table.repartition(tasks, end).join(gone.withColumnRenamed("id", end), end, "left_anti").select(*table.columns))
                 elif not table.join(gone.withColumnRenamed("id", end), end, "left_semi").isEmpty():
                     raise ValueError(f"nodes still have relationships of type {name}")
     return out
