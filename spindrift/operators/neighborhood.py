@@ -57,6 +57,24 @@ def connected(pairs: DataFrame, rels: DataFrame, types: Sequence[str] = ()) -> D
     return pairs.join(seen, ["a", "b"], "left").withColumn("connected", F.coalesce("connected", F.lit(False)))
 
 
+def summaries(rels: DataFrame, threshold: int) -> DataFrame:
+    """``id``, ``types``, ``types_out``, ``types_in`` (null without any that way), ``neighbors`` (how
+    many there are) and ``dense`` (the degree, if over ``threshold``), for nodes with relationships.
+
+    Each relationship is dealt to its ends once: a row for a node and neighbour,
+    which are then summed where they are."""
+    tasks = dealt(rels, ROWS_A_TASK)
+    out = relationships(rels, "out").withColumn("out", F.lit(True))
+    ends = out.unionAll(relationships(rels, "in").withColumn("out", F.lit(False))).repartition(tasks, "id")
+    way = lambda out: F.collect_set(F.when(F.col("out") == out, F.col("type")))
+    near = ends.groupBy("id", "other").agg(way(True).alias("o"), way(False).alias("i"), F.count("*").alias("n"))
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    each = near.groupBy("id").agg(flat("o").alias("o"), flat("i").alias("i"), F.count("other").alias("neighbors"), F.sum("n").alias("degree"))
+    some = lambda c: F.when(F.col("id").isNotNull() & (F.size(c) > 0), F.array_sort(c))
+    return each.select("id", F.array_sort(F.array_union("o", "i")).alias("types"), some("o").alias("types_out"), some("i").alias("types_in"), "neighbors",
+                       F.when(F.col("degree") > threshold, F.col("degree")).alias("dense"))
+
+
 def dense(rels: DataFrame, threshold: int) -> DataFrame:
     """``id``, ``degree`` of nodes with more relationships than ``threshold``."""
     return relationships(rels).groupBy("id").agg(F.count("*").alias("degree")).where(F.col("degree") > threshold)

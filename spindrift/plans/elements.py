@@ -118,12 +118,7 @@ WITH {_TYPED} SELECT id, list_sort(list(DISTINCT type)) AS types, (SELECT list_s
   count(DISTINCT other) AS neighbors, CASE WHEN count(*) > 20 THEN count(*) END AS dense FROM b GROUP BY id
 """)
 def node_relationships(spark, sf_dir):
-    rels = _typed(spark, sf_dir)
-    out = neighborhood.relationship_types(rels)
-    for way in ("out", "in"):
-        out = out.join(neighborhood.relationship_types(rels, way).withColumnRenamed("types", f"types_{way}"), "id", "left")
-    near = neighborhood.neighbors(rels).groupBy("id").agg(F.count("*").alias("neighbors"))
-    return out.join(near, "id").join(neighborhood.dense(rels, 20).withColumnRenamed("degree", "dense"), "id", "left")
+    return neighborhood.summaries(_typed(spark, sf_dir), 20)
 
 
 @query("""

@@ -4,10 +4,7 @@ import random
 
 import pytest
 
-from pyspark.sql import functions as F
-
-from spindrift.operators import algorithms, iterate
-from tests.duck import SF
+from spindrift.operators import algorithms, neighborhood
 
 
 @pytest.mark.parametrize("name", [lambda i: i, lambda i: f"n{i}"])
@@ -21,3 +18,17 @@ def test_components_shrink_from_round_to_round(spark, monkeypatch, name):
     want = {name(i): min(map(name, ids[at:at + 40])) for at in range(0, 2_000, 40) for i in ids[at:at + 40]}
     assert found == want | {name(10_001): name(10_001)}
     assert sum(t.count() for t in kept) < 12 * len(edges)
+
+
+def test_relationships_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(neighborhood, "ROWS_A_TASK", 10)  # many tasks
+    rnd = random.Random(6)
+    rels = [(rnd.randrange(12), rnd.randrange(12), rnd.choice("abc")) for _ in range(60)] + [(20, 21, "a"), (20, 21, "a"), (22, 22, "c")]
+    found = neighborhood.summaries(spark.createDataFrame(rels, "src long, dst long, type string"), 9)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {}
+    for i in {x for a, b, _ in rels for x in (a, b)}:
+        out, back = [(b, t) for a, b, t in rels if a == i], [(a, t) for a, b, t in rels if b == i]
+        names = lambda e: sorted({t for _, t in e}) or None
+        want[i] = (names(out + back), names(out), names(back), len({x for x, _ in out + back}), len(out + back) if len(out + back) > 9 else None)
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == want
