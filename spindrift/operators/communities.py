@@ -5,14 +5,24 @@ null counts as 1), taken both ways; loops are left out and parallel edges add up
 Nodes without edges are communities of their own.  In a round many merges or
 moves happen at once, chosen so that none stands in the way of another; what a
 round leaves is written to the shared folder.  ``community`` is the least id inside.
+
+A community never leaves its connected component.  So unless one is large, all tables
+are bucketed by component (``home``, the first of ``keys``), and rounds shuffle no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators.iterate import settled
+from spindrift.operators.algorithms import components
+from spindrift.operators.iterate import bucketed_tables, dealt, settled
+
+#: Edges (both ways) of a component that may stay in one bucket, and of a bucket.
+EDGES_TOGETHER, EDGES_A_BUCKET = 10_000, 500_000
 
 #: Changes below this are rounding.
 LEAST_GAIN = 1e-10
@@ -25,32 +35,52 @@ def _weights(edges: DataFrame) -> DataFrame:
     return settled(e.union(e.select("dst", "src", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")), "weights")
 
 
-def _named(part: DataFrame) -> DataFrame:
+@contextmanager
+def _by_component(ids: DataFrame, e: DataFrame):
+    """``keys``, ``keep`` and ``homed(df, end)``.  With small components only, ``keys`` is
+    ``home``, which ``homed`` adds by a column of nodes, and ``keep`` writes buckets by it;
+    else there is none, and each join deals its rows anew."""
+    parts = settled(components(ids, e).withColumnRenamed("component", "home"), "homes")
+    at = lambda end: parts.withColumnRenamed("id", end)
+    if e.join(at("src"), "src").groupBy("home").count().where(F.col("count") > EDGES_TOGETHER).isEmpty():
+        buckets = dealt(e, EDGES_A_BUCKET)
+        with bucketed_tables(e.sparkSession, "home", buckets) as keep:
+            yield ["home"], keep, lambda df, end: keep(df.join(at(end), end).select("home", *df.columns).repartition(buckets, "home"))
+    else:
+        yield [], settled, lambda df, end: df
+
+
+def _named(part: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Communities by their least member."""
-    least = part.groupBy("community").agg(F.min("id").alias("least"))
-    return part.join(least, "community").select("id", F.col("least").alias("community"))
+    least = part.groupBy(*keys, "community").agg(F.min("id").alias("least"))
+    return settled(part.join(least, [*keys, "community"]).select("id", F.col("least").alias("community")), "parts")
 
 
-def _merged(part: DataFrame, merges: DataFrame) -> DataFrame:
-    """``part`` after communities ``b`` became ``a``."""
-    return settled(part.join(merges.select(F.col("b").alias("community"), F.col("a").alias("to")), "community", "left").select("id", F.coalesce("to", "community").alias("community")), "parts")
+def _merged(part: DataFrame, went: list[DataFrame], keys: Sequence[str], keep) -> DataFrame:
+    """``part`` after all rounds in which communities ``b`` became ``a``."""
+    for i, merges in enumerate(went):
+        to = merges.select(*keys, F.col("b").alias("community"), F.col("a").alias("to"))
+        part = part.join(to, [*keys, "community"], "left").select(*keys, "id", F.coalesce("to", "community").alias("community"))
+        if i % 8 == 7:
+            part = keep(part)
+    return part
 
 
-def _contracted(between: DataFrame, merges: DataFrame) -> DataFrame:
+def _contracted(between: DataFrame, merges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Weights between communities after the merges."""
-    renamed = lambda end: merges.select(F.col("b").alias(end), F.col("a").alias(f"{end}_to"))
-    e = between.join(renamed("src"), "src", "left").join(renamed("dst"), "dst", "left")
-    e = e.select(F.coalesce("src_to", "src").alias("src"), F.coalesce("dst_to", "dst").alias("dst"), "w").where("src <> dst")
-    return e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    renamed = lambda end: merges.select(*keys, F.col("b").alias(end), F.col("a").alias(f"{end}_to"))
+    e = between.join(renamed("src"), [*keys, "src"], "left").join(renamed("dst"), [*keys, "dst"], "left")
+    e = e.select(*keys, F.coalesce("src_to", "src").alias("src"), F.coalesce("dst_to", "dst").alias("dst"), "w").where("src <> dst")
+    return e.groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w"))
 
 
-def _mutual(scored: DataFrame, best_first: Column) -> DataFrame:
+def _mutual(scored: DataFrame, best_first: Column, keys: Sequence[str]) -> DataFrame:
     """Of pairs ``src`` < ``dst`` those that are best for both ends.  Order is total, so
     the best pair of all is one of them."""
     order = F.struct(best_first.alias("o"), F.col("src").alias("x"), F.col("dst").alias("y"))
-    ends = scored.select(F.col("src").alias("at"), order.alias("o")).union(scored.select("dst", order))
-    chosen = ends.groupBy("at").agg(F.min("o").alias("o")).groupBy("o").agg(F.count("*").alias("n")).where("n = 2")
-    return settled(chosen.select(F.col("o.x").alias("a"), F.col("o.y").alias("b")), "merges")
+    ends = scored.select(*keys, F.explode(F.array("src", "dst")).alias("at"), order.alias("o"))
+    chosen = ends.groupBy(*keys, "at").agg(F.min("o").alias("o")).groupBy(*keys, "o").agg(F.count("*").alias("n")).where("n = 2")
+    return chosen.select(*keys, F.col("o.x").alias("a"), F.col("o.y").alias("b"))
 
 
 def fast_greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,23 +89,25 @@ def fast_greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     From single nodes, pairs of communities that are each other's best merge, all
     in one round, while a merge gains.  A hub takes one neighbour a round.
     """
-    between = _weights(edges)
-    degree = between.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
-    total = degree.agg(F.sum("k")).first()[0]
-    part = settled(nodes.select("id", F.col("id").alias("community")).distinct(), "parts")
+    e = _weights(edges)
+    total = e.agg(F.sum("w")).first()[0]
+    ids = settled(nodes.select("id").distinct(), "ids")
     if not total:
-        return part
-    degree = settled(degree, "degrees")
-    while True:
-        k = lambda end: degree.select(F.col("id").alias(end), F.col("k").alias(f"k_{end}"))
-        gains = between.where("src < dst").join(k("src"), "src").join(k("dst"), "dst")
-        gains = gains.withColumn("gain", F.round(2 * (F.col("w") / total - F.col("k_src") * F.col("k_dst") / (total * total)), 12)).where(F.col("gain") > LEAST_GAIN)
-        merges = _mutual(gains, -F.col("gain"))
-        if merges.isEmpty():
-            return _named(part)
-        part = _merged(part, merges)
-        between = settled(_contracted(between, merges), "between")
-        degree = settled(degree.join(merges.select(F.col("b").alias("id"), "a"), "id", "left").groupBy(F.coalesce("a", "id").alias("id")).agg(F.sum("k").alias("k")), "degrees")
+        return ids.withColumn("community", F.col("id"))
+    with _by_component(ids, e) as (keys, keep, homed):
+        between, part, went = homed(e, "src"), homed(ids, "id").withColumn("community", F.col("id")), []
+        degree = keep(between.groupBy(*keys, F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+        while True:
+            k = lambda end: degree.select(*keys, F.col("id").alias(end), F.col("k").alias(f"k_{end}"))
+            gains = between.where("src < dst").join(k("src"), [*keys, "src"]).join(k("dst"), [*keys, "dst"])
+            gains = gains.withColumn("gain", F.round(2 * (F.col("w") / total - F.col("k_src") * F.col("k_dst") / (total * total)), 12)).where(F.col("gain") > LEAST_GAIN)
+            merges = keep(_mutual(gains, -F.col("gain"), keys))
+            if merges.isEmpty():
+                return _named(_merged(part, went, keys, keep), keys)
+            went.append(merges)
+            between = keep(_contracted(between, merges, keys))
+            to = merges.select(*keys, F.col("b").alias("id"), "a")
+            degree = keep(degree.join(to, [*keys, "id"], "left").groupBy(*keys, F.coalesce("a", "id").alias("id")).agg(F.sum("k").alias("k")))
 
 
 def walk_trap(nodes: DataFrame, edges: DataFrame, steps: int = 4) -> DataFrame:
@@ -88,58 +120,64 @@ def walk_trap(nodes: DataFrame, edges: DataFrame, steps: int = 4) -> DataFrame:
     has a row for each node that it reaches in ``steps`` steps.
     """
     e = _weights(edges)
-    loops = e.groupBy("src").agg(F.sum("w").alias("s"), F.avg("w").alias("mean"))
-    part = settled(nodes.select("id", F.col("id").alias("community")).distinct(), "parts")
+    ids = settled(nodes.select("id").distinct(), "ids")
     if e.isEmpty():
-        return part
-    reach = settled(loops.select("src", (F.col("s") + F.col("mean")).alias("d"), "mean", "s"), "reach")
-    step = e.unionByName(reach.select("src", F.col("src").alias("dst"), F.col("mean").alias("w"))).join(reach.select("src", "d"), "src")
-    step = settled(step.select(F.col("src").alias("k"), "dst", (F.col("w") / F.col("d")).alias("share")), "steps")
-    walks = reach.select(F.col("src").alias("c"), F.col("src").alias("k"), F.lit(1.0).alias("p"))
-    for _ in range(steps):
-        walks = settled(walks.join(step, "k").groupBy("c", F.col("dst").alias("k")).agg(F.sum(F.col("p") * F.col("share")).alias("p")), "walks")
-    # Distances are plain ones of these coordinates.
-    walks = settled(walks.join(reach.select(F.col("src").alias("k"), "d"), "k").select("c", "k", (F.col("p") / F.sqrt("d")).alias("p")), "walks")
-    between = e
-    sizes = settled(reach.select(F.col("src").alias("c"), F.lit(1).cast("long").alias("n"), F.col("s").alias("strength"), F.lit(0.0).alias("inside")), "sizes")
-    total = sizes.agg(F.sum("strength")).first()[0]
-    quality = lambda: sizes.agg(F.sum(F.col("inside") / total - F.pow(F.col("strength") / total, 2))).first()[0]
-    best, best_part = quality(), part
-    while True:
-        pairs = between.where("src < dst").select("src", "dst")
-        norms = walks.groupBy("c").agg(F.sum(F.col("p") * F.col("p")).alias("norm"))
-        both = pairs.join(walks.select(F.col("c").alias("src"), "k", F.col("p").alias("p1")), "src").join(walks.select(F.col("c").alias("dst"), "k", F.col("p").alias("p2")), ["dst", "k"])
-        cross = both.groupBy("src", "dst").agg(F.sum(F.col("p1") * F.col("p2")).alias("cross"))
-        side = lambda end: sizes.join(norms, "c").select(F.col("c").alias(end), F.col("n").alias(f"n_{end}"), F.col("norm").alias(f"norm_{end}"))
-        costs = pairs.join(cross, ["src", "dst"], "left").join(side("src"), "src").join(side("dst"), "dst")
-        apart = F.greatest(F.col("norm_src") + F.col("norm_dst") - 2 * F.coalesce("cross", F.lit(0.0)), F.lit(0.0))
-        costs = costs.withColumn("cost", F.round(F.col("n_src") * F.col("n_dst") / (F.col("n_src") + F.col("n_dst")) * apart, 12))
-        merges = _mutual(costs, F.col("cost"))
-        if merges.isEmpty():
-            return _named(best_part)
-        part = _merged(part, merges)
-        to = merges.select(F.col("b").alias("c"), "a")
-        gained = between.join(merges, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b"))).select(F.col("a").alias("c"), (2 * F.col("w")).alias("more"))
-        weighed = walks.join(sizes.select("c", "n"), "c").join(to, "c", "left").groupBy(F.coalesce("a", "c").alias("c"), "k").agg(F.sum(F.col("p") * F.col("n")).alias("p"))
-        sizes = settled(sizes.join(to, "c", "left").groupBy(F.coalesce("a", "c").alias("c")).agg(*(F.sum(x).alias(x) for x in ("n", "strength", "inside")))
-                        .join(gained, "c", "left").withColumn("inside", F.col("inside") + F.coalesce("more", F.lit(0.0))).drop("more"), "sizes")
-        walks = settled(weighed.join(sizes.select("c", "n"), "c").select("c", "k", (F.col("p") / F.col("n")).alias("p")), "walks")
-        between = settled(_contracted(between, merges), "between")
-        now = quality()
-        if now > best + LEAST_GAIN:
-            best, best_part = now, part
+        return ids.withColumn("community", F.col("id"))
+    with _by_component(ids, e) as (keys, keep, homed):
+        between, part, went = homed(e, "src"), homed(ids, "id").withColumn("community", F.col("id")), []
+        loops = between.groupBy(*keys, "src").agg(F.sum("w").alias("s"), F.avg("w").alias("mean"))
+        reach = keep(loops.select(*keys, "src", (F.col("s") + F.col("mean")).alias("d"), "mean", "s"))
+        # What a node gives to each neighbour, and what it keeps.
+        step = between.join(reach, [*keys, "src"]).select(*keys, F.col("src").alias("k"), "dst", (F.col("w") / F.col("d")).alias("share"))
+        step = keep(step.groupBy(*keys, "k").agg(F.collect_list(F.struct("dst", "share")).alias("to")))
+        stays = reach.select(*keys, F.col("src").alias("k"), (F.col("mean") / F.col("d")).alias("share"))
+        step = step.join(stays, [*keys, "k"]).select(*keys, "k", F.explode(F.concat("to", F.array(F.struct(F.col("k").alias("dst"), "share")))).alias("t")).select(*keys, "k", "t.dst", "t.share")
+        walks = reach.select(*keys, F.col("src").alias("c"), F.col("src").alias("k"), F.lit(1.0).alias("p"))
+        for _ in range(steps):
+            walks = keep(walks.join(step, [*keys, "k"]).groupBy(*keys, "c", F.col("dst").alias("k")).agg(F.sum(F.col("p") * F.col("share")).alias("p")))
+        # Distances are plain ones of these coordinates.
+        walks = keep(walks.join(reach.select(*keys, F.col("src").alias("k"), "d"), [*keys, "k"]).select(*keys, "c", "k", (F.col("p") / F.sqrt("d")).alias("p")))
+        sizes = keep(reach.select(*keys, F.col("src").alias("c"), F.lit(1).cast("long").alias("n"), F.col("s").alias("strength"), F.lit(0.0).alias("inside")))
+        total = sizes.agg(F.sum("strength")).first()[0]
+        quality = lambda: sizes.agg(F.sum(F.col("inside") / total - F.pow(F.col("strength") / total, 2))).first()[0]
+        best, best_round = quality(), 0
+        while True:
+            pairs = between.where("src < dst").select(*keys, "src", "dst")
+            norms = walks.groupBy(*keys, "c").agg(F.sum(F.col("p") * F.col("p")).alias("norm"))
+            both = pairs.join(walks.select(*keys, F.col("c").alias("src"), "k", F.col("p").alias("p1")), [*keys, "src"]).join(walks.select(*keys, F.col("c").alias("dst"), "k", F.col("p").alias("p2")), [*keys, "dst", "k"])
+            cross = both.groupBy(*keys, "src", "dst").agg(F.sum(F.col("p1") * F.col("p2")).alias("cross"))
+            side = lambda end: sizes.join(norms, [*keys, "c"]).select(*keys, F.col("c").alias(end), F.col("n").alias(f"n_{end}"), F.col("norm").alias(f"norm_{end}"))
+            costs = pairs.join(cross, [*keys, "src", "dst"], "left").join(side("src"), [*keys, "src"]).join(side("dst"), [*keys, "dst"])
+            apart = F.greatest(F.col("norm_src") + F.col("norm_dst") - 2 * F.coalesce("cross", F.lit(0.0)), F.lit(0.0))
+            costs = costs.withColumn("cost", F.round(F.col("n_src") * F.col("n_dst") / (F.col("n_src") + F.col("n_dst")) * apart, 12))
+            merges = keep(_mutual(costs, F.col("cost"), keys))
+            if merges.isEmpty():
+                return _named(_merged(part, went[:best_round], keys, keep), keys)
+            went.append(merges)
+            to = merges.select(*keys, F.col("b").alias("c"), "a")
+            inner = merges.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"))
+            gained = between.join(inner, [*keys, "src", "dst"]).select(*keys, F.col("src").alias("c"), (2 * F.col("w")).alias("more"))
+            weighed = walks.join(sizes.select(*keys, "c", "n"), [*keys, "c"]).join(to, [*keys, "c"], "left").groupBy(*keys, F.coalesce("a", "c").alias("c"), "k").agg(F.sum(F.col("p") * F.col("n")).alias("p"))
+            sizes = keep(sizes.join(to, [*keys, "c"], "left").groupBy(*keys, F.coalesce("a", "c").alias("c")).agg(*(F.sum(x).alias(x) for x in ("n", "strength", "inside")))
+                         .join(gained, [*keys, "c"], "left").withColumn("inside", F.col("inside") + F.coalesce("more", F.lit(0.0))).drop("more"))
+            walks = keep(weighed.join(sizes.select(*keys, "c", "n"), [*keys, "c"]).select(*keys, "c", "k", (F.col("p") / F.col("n")).alias("p")))
+            between = keep(_contracted(between, merges, keys))
+            now = quality()
+            if now > best + LEAST_GAIN:
+                best, best_round = now, len(went)
 
 
 def _plogp(x: Column) -> Column:
     return F.when(x > 0, x * F.log2(x)).otherwise(0.0)
 
 
-def _modules(units: DataFrame, flows: DataFrame, part: DataFrame) -> DataFrame:
+def _modules(units: DataFrame, flows: DataFrame, part: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``m``, ``p``, ``q``: of each module the visits and the exits."""
-    inside = part.join(units, "id").groupBy(F.col("module").alias("m")).agg(F.sum("p").alias("p"))
-    ends = flows.join(part.select(F.col("id").alias("src"), F.col("module").alias("m")), "src").join(part.select(F.col("id").alias("dst"), F.col("module").alias("other")), "dst")
-    leaving = ends.where("m <> other").groupBy("m").agg(F.sum("f").alias("q"))
-    return inside.join(leaving, "m", "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
+    inside = part.join(units, [*keys, "id"]).groupBy(*keys, F.col("module").alias("m")).agg(F.sum("p").alias("p"))
+    at = lambda end, m: part.select(*keys, F.col("id").alias(end), F.col("module").alias(m))
+    ends = flows.join(at("src", "m"), [*keys, "src"]).join(at("dst", "other"), [*keys, "dst"])
+    leaving = ends.where("m <> other").groupBy(*keys, "m").agg(F.sum("f").alias("q"))
+    return inside.join(leaving, [*keys, "m"], "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
 
 
 def _length(modules: DataFrame) -> tuple[float, float]:
@@ -149,19 +187,20 @@ def _length(modules: DataFrame) -> tuple[float, float]:
     return tuple(r.select(_plogp(F.col("all")) + F.coalesce("own", F.lit(0.0)), "all").first())
 
 
-def _moved(units: DataFrame, flows: DataFrame, most_rounds: int, tolerance: float, lengths: list[float]) -> DataFrame:
-    """``id``, ``module``: units after moves that shorten the description, while a round
+def _moved(units: DataFrame, flows: DataFrame, most_rounds: int, tolerance: float, lengths: list[float], keys: Sequence[str], keep) -> DataFrame:
+    """``keys``, ``id``, ``module``: units after moves that shorten the description, while a round
     does so by ``tolerance``."""
-    units = settled(units.join(flows.groupBy(F.col("src").alias("id")).agg(F.sum("f").alias("f")), "id", "left").withColumn("f", F.coalesce("f", F.lit(0.0))), "units")
-    part = settled(units.select("id", F.col("id").alias("module")), "modules")
-    modules = settled(_modules(units, flows, part), "sums")
+    units = keep(units.join(flows.groupBy(*keys, F.col("src").alias("id")).agg(F.sum("f").alias("f")), [*keys, "id"], "left").withColumn("f", F.coalesce("f", F.lit(0.0))))
+    part = units.select(*keys, "id", F.col("id").alias("module"))
+    modules = keep(_modules(units, flows, part, keys))
     now, all_q = _length(modules)
     lengths.append(now)
     for round_ in range(most_rounds):
-        to = flows.join(part.select(F.col("id").alias("dst"), F.col("module").alias("b")), "dst").groupBy(F.col("src").alias("id"), "b").agg(F.sum("f").alias("fb"))
-        moves = to.join(part.join(units, "id").withColumnRenamed("module", "a"), "id")
-        moves = moves.withColumn("fa", F.coalesce(F.max(F.when(F.col("a") == F.col("b"), F.col("fb"))).over(Window.partitionBy("id")), F.lit(0.0))).where("a <> b")
-        moves = moves.join(modules.select(F.col("m").alias("a"), F.col("p").alias("pa"), F.col("q").alias("qa")), "a").join(modules.select(F.col("m").alias("b"), F.col("p").alias("pb"), F.col("q").alias("qb")), "b")
+        to = flows.join(part.select(*keys, F.col("id").alias("dst"), F.col("module").alias("b")), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "b").agg(F.sum("f").alias("fb"))
+        moves = to.join(part.join(units, [*keys, "id"]).withColumnRenamed("module", "a"), [*keys, "id"])
+        moves = moves.withColumn("fa", F.coalesce(F.max(F.when(F.col("a") == F.col("b"), F.col("fb"))).over(Window.partitionBy(*keys, "id")), F.lit(0.0))).where("a <> b")
+        at = lambda x: modules.select(*keys, F.col("m").alias(x), F.col("p").alias(f"p{x}"), F.col("q").alias(f"q{x}"))
+        moves = moves.join(at("a"), [*keys, "a"]).join(at("b"), [*keys, "b"])
         c = F.col
         qa, qb = F.greatest(c("qa") - c("f") + 2 * c("fa"), F.lit(0.0)), F.greatest(c("qb") + c("f") - 2 * c("fb"), F.lit(0.0))
         change = _plogp(F.lit(all_q) + qa - c("qa") + qb - c("qb")) - _plogp(F.lit(all_q)) - 2 * (_plogp(qa) + _plogp(qb) - _plogp(c("qa")) - _plogp(c("qb")))
@@ -169,19 +208,18 @@ def _moved(units: DataFrame, flows: DataFrame, most_rounds: int, tolerance: floa
         # In a round a module either gives or takes, so that no two change places.
         gives = lambda m: F.pmod(F.xxhash64(m, F.lit(round_)), F.lit(2)) == 0
         moves = moves.withColumn("change", F.round(change, 12)).where(F.col("change") < -LEAST_GAIN).withColumn("may", gives(c("a")) & ~gives(c("b")))
-        moves = settled(moves.groupBy("id", "may").agg(F.min(F.struct("change", "b")).alias("s")).select("id", "may", "s.change", F.col("s.b").alias("to")), "moves")
-        some_gain, n = moves.agg(F.count("*"), F.count_if("may")).first()
-        if not some_gain:
-            break
+        best = keep(moves.where("may").groupBy(*keys, "id").agg(F.min(F.struct("change", "b")).alias("s")).select(*keys, "id", "s.change", F.col("s.b").alias("to")))
+        n = best.count()
         if not n:
+            if moves.isEmpty():
+                break
             continue
-        best = moves.where("may")
         # All moves, or else fewer, and at last the one that shortens most.
         share = 1
         while True:
             some = best.orderBy("change", "id").limit(1) if share >= n else best.where(F.pmod(F.xxhash64("id", F.lit(round_ + 1)), F.lit(share)) == 0)
-            tried = settled(part.join(some.select("id", "to"), "id", "left").select("id", F.coalesce("to", "module").alias("module")), "modules")
-            sums = settled(_modules(units, flows, tried), "sums")
+            tried = keep(part.join(some.select(*keys, "id", "to"), [*keys, "id"], "left").select(*keys, "id", F.coalesce("to", "module").alias("module")))
+            sums = keep(_modules(units, flows, tried, keys))
             new, new_q = _length(sums)
             if new < now - LEAST_GAIN / 10:
                 gain = now - new
@@ -209,24 +247,24 @@ def info_map(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100, toleran
     lengths = [] if lengths is None else lengths
     w = _weights(edges)
     total = w.agg(F.sum("w")).first()[0]
-    part = settled(nodes.select("id", F.col("id").alias("module")).distinct(), "modules")
+    ids = settled(nodes.select("id").distinct(), "ids")
     if not total:
-        return part.withColumnRenamed("module", "community")
-    flows = settled(w.select("src", "dst", (F.col("w") / total).alias("f")), "flows")
-    visits = flows.groupBy(F.col("src").alias("id")).agg(F.sum("f").alias("p"))
-    units = settled(part.select("id").join(visits, "id", "left").withColumn("p", F.coalesce("p", F.lit(0.0))), "units")
-    while True:
-        begun = len(lengths)
-        step = _moved(units, flows, most_rounds, tolerance, lengths)
-        if len(lengths) == begun + 1:  # no round was taken
-            return _named(part.withColumnRenamed("module", "community"))
-        part = settled(part.join(step.select(F.col("id").alias("module"), F.col("module").alias("to")), "module").select("id", F.col("to").alias("module")), "modules")
-        to = step.select("id", "module")
-        if lengths[begun] - lengths[-1] < tolerance:
-            return _named(part.withColumnRenamed("module", "community"))
-        units = settled(units.join(to, "id").groupBy(F.col("module").alias("id")).agg(F.sum("p").alias("p")), "units")
-        ends = flows.join(to.select(F.col("id").alias("src"), F.col("module").alias("s")), "src").join(to.select(F.col("id").alias("dst"), F.col("module").alias("d")), "dst")
-        flows = settled(ends.where("s <> d").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("f").alias("f")), "flows")
+        return ids.withColumn("community", F.col("id"))
+    with _by_component(ids, w) as (keys, keep, homed):
+        flows, part = homed(w, "src").select(*keys, "src", "dst", (F.col("w") / total).alias("f")), homed(ids, "id").withColumn("module", F.col("id"))
+        visits = flows.groupBy(*keys, F.col("src").alias("id")).agg(F.sum("f").alias("p"))
+        units = keep(part.select(*keys, "id").join(visits, [*keys, "id"], "left").withColumn("p", F.coalesce("p", F.lit(0.0))))
+        while True:
+            begun = len(lengths)
+            step = _moved(units, flows, most_rounds, tolerance, lengths, keys, keep)
+            if len(lengths) > begun + 1:  # else no round was taken
+                part = keep(part.join(step.select(*keys, F.col("id").alias("module"), F.col("module").alias("to")), [*keys, "module"]).select(*keys, "id", F.col("to").alias("module")))
+            if len(lengths) == begun + 1 or lengths[begun] - lengths[-1] < tolerance:
+                return _named(part.withColumnRenamed("module", "community"), keys)
+            units = keep(units.join(step, [*keys, "id"]).groupBy(*keys, F.col("module").alias("id")).agg(F.sum("p").alias("p")))
+            at = lambda end, to: step.select(*keys, F.col("id").alias(end), F.col("module").alias(to))
+            ends = flows.join(at("src", "s"), [*keys, "src"]).join(at("dst", "d"), [*keys, "dst"])
+            flows = keep(ends.where("s <> d").groupBy(*keys, F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("f").alias("f")))
 
 
 def description_length(nodes: DataFrame, edges: DataFrame, communities: DataFrame) -> float:
