@@ -35,6 +35,59 @@ def test_relationships_are_dealt_once(spark, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in found.collect()} == want
 
 
+def _page_rank(nodes, edges, damping, iterations):
+    """By a loop over all nodes; ``nodes`` may repeat, ends may be no nodes or none."""
+    ids = set(nodes)
+    out = {i: [b for a, b in edges if a == i and a is not None] for i in ids}
+    score = {i: 1 / len(ids) for i in ids}
+    for _ in range(iterations):
+        lost = sum(s for i, s in score.items() if i is not None and not out[i])
+        came = dict.fromkeys(ids, 0.0)
+        for i in ids:
+            for b in out[i]:
+                if b is not None and b in ids:
+                    came[b] += score[i] / len(out[i])
+        score = {i: (1 - damping + damping * lost) / len(ids) + damping * came[i] for i in ids}
+    return score
+
+
+@pytest.mark.parametrize("rows, name", [(400_000, lambda i: i), (3, lambda i: i if i is None else f"n{i}")])  # the second: nodes with too many edges for a bucket
+def test_rounds_of_page_rank_shuffle_what_came_once(spark, monkeypatch, name, rows):
+    plans, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    @contextmanager
+    def seen(*a):
+        with bucketed_tables(*a) as keep:
+            def counted(df, *to):
+                plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+                return keep(df, *to)
+
+            yield counted
+
+    bucketed_tables = algorithms.bucketed_tables
+    monkeypatch.setattr(algorithms, "bucketed_tables", seen)
+    monkeypatch.setattr(algorithms, "FEW_ROWS", 10)
+    monkeypatch.setattr(algorithms, "ROWS_A_BUCKET", rows)
+    rnd = random.Random(9)
+    ids = [*range(40), 7, 7, None]  # 35 and above lead nowhere
+    edges = [(rnd.randrange(35), rnd.randrange(44)) for _ in range(110)] + [(0, i) for i in range(40)] + [(3, 3), (3, 4), (3, 4), (50, 1), (50, 50), (5, None), (None, 6)]
+    ids, edges = [name(i) for i in ids], [(name(a), name(b)) for a, b in edges]
+    kind = "long" if isinstance(ids[0], int) else "string"
+    nodes, links = spark.createDataFrame([(i,) for i in ids], f"id {kind}"), spark.createDataFrame(edges, f"src {kind}, dst {kind}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rounds in (4, 0):
+            plans.clear()
+            found = [tuple(r) for r in algorithms.page_rank(nodes, links, 0.8, rounds).collect()]
+            want = _page_rank(ids, edges, 0.8, rounds)
+            assert len(found) == len(want) and dict(found) == pytest.approx(want, rel=1e-12)
+            if rows > 3:
+                assert len(plans) == 3 + rounds and plans[3:] == [1] * rounds
+        assert algorithms.page_rank(nodes.limit(0), links).collect() == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("name", ["fast_greedy", "walk_trap", "info_map"])
 def test_rounds_of_communities_shuffle_nothing(spark, monkeypatch, name):
     """With small components; the same communities come of a graph taken for one with a large one."""
