@@ -7,7 +7,8 @@ moves happen at once, chosen so that none stands in the way of another; what a
 round leaves is written to the shared folder.  ``community`` is the least id inside.
 
 A community never leaves its connected component.  So unless one is large, all tables
-are bucketed by component (``home``, the first of ``keys``), and rounds shuffle no rows.
+are bucketed by component (``home``, the first of ``keys``), and rounds shuffle no rows; of
+the map equation, all rounds of such components are one job.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,6 +247,10 @@ def info_map(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100, toleran
     ``tolerance`` bits.  A round is taken only if the description did get shorter, and
     is a level's last if by less than that; ``lengths``, if given, gets the bits a step after each,
     without the constant of the nodes.
+
+    Components that are small share only the sum of all exits.  A job finds the modules of
+    each for a sum that is given, and some jobs the sum at which as many are found; of their
+    results that of the shortest description counts.
     """
     lengths = [] if lengths is None else lengths
     w = _weights(edges)
@@ -251,6 +259,8 @@ def info_map(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100, toleran
     if not total:
         return ids.withColumn("community", F.col("id"))
     with _by_component(ids, w) as (keys, keep, homed):
+        if keys:
+            return _apart(ids, homed(w, "src").select("home", "src", "dst", (F.col("w") / total).alias("f")), most_rounds, lengths)
         flows, part = homed(w, "src").select(*keys, "src", "dst", (F.col("w") / total).alias("f")), homed(ids, "id").withColumn("module", F.col("id"))
         visits = flows.groupBy(*keys, F.col("src").alias("id")).agg(F.sum("f").alias("p"))
         units = keep(part.select(*keys, "id").join(visits, [*keys, "id"], "left").withColumn("p", F.coalesce("p", F.lit(0.0))))
@@ -267,6 +277,119 @@ def info_map(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100, toleran
             flows = keep(ends.where("s <> d").groupBy(*keys, F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("f").alias("f")))
 
 
+def _apart(ids: DataFrame, flows: DataFrame, most_rounds: int, lengths: list[float]) -> DataFrame:
+    """``id``, ``community`` where no component (``home``) is large."""
+    spark, kind = flows.sparkSession, flows.schema["src"].dataType.simpleString()
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def modules(flows: pa.Table, exits: float) -> pa.Table:
+        codes, nodes = pd.factorize(np.concatenate([flows[c].to_numpy() for c in ("src", "dst")]), sort=True)
+        src, dst, f, n = codes[:len(flows)], codes[len(flows):], flows["f"].to_numpy(), len(nodes)
+        homes, _ = pd.factorize(flows["home"].to_numpy())
+        home = np.zeros(n, np.int64)
+        home[src] = homes
+        module = _settled_modules(src, dst, f, home, exits * (1 - np.bincount(homes, weights=f)), most_rounds)
+        visits, leaves = np.bincount(src, weights=f, minlength=n), module[src] != module[dst]
+        p, q = np.bincount(module, weights=visits, minlength=n), np.bincount(module[src[leaves]], weights=f[leaves], minlength=n) + 0.0
+        return pa.table({"id": pa.array(nodes, flows.schema.field("src").type), "community": pa.array(nodes[module], flows.schema.field("src").type), "q": q, "own": _bits(p + q) - 2 * _bits(q)})
+
+    def found(exits: float) -> DataFrame:
+        return settled(flows.groupBy("bucket").applyInArrow(lambda group: modules(group, exits), f"id {kind}, community {kind}, q double, own double"), "modules")
+
+    with bucketed_tables(spark, "bucket", buckets) as keep:
+        flows = keep(flows.withColumn("bucket", F.pmod(F.xxhash64("home"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket"))
+        length = lambda part: part.agg(F.sum("q").alias("q"), F.sum("own").alias("own")).select(_plogp(F.col("q")) + F.col("own"), "q").first()
+        alone = flows.groupBy("src").agg(F.sum("f").alias("q"))
+        best = alone.select(F.col("src").alias("id"), F.col("src").alias("community"), "q", (_plogp(2 * F.col("q")) - 2 * _plogp(F.col("q"))).alias("own"))
+        now, high = length(best)
+        lengths.append(now)
+        given, low = high, flows.agg(F.min("f")).first()[0]
+        while True:
+            tried = found(given)
+            new, exits = length(tried)
+            if new < now - LEAST_GAIN:
+                best, now = tried, new
+                lengths.append(now)
+            # The more exits are given, the fewer are found.
+            low, high = (given, high) if exits > given else (low, given)
+            if high < 2 * low:
+                return settled(ids.join(best.select("id", "community"), "id", "left").select("id", F.coalesce("community", "id").alias("community")), "parts")
+            given = (low * high) ** 0.5
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log2(np.where(x > 0, x, 1.0)), 0.0)
+
+
+def _gives(module: np.ndarray, round_: int) -> np.ndarray:
+    h = (module.astype(np.uint64) + np.uint64(7919 * round_ + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % 2 == 0
+
+
+def _settled_modules(src: np.ndarray, dst: np.ndarray, f: np.ndarray, home: np.ndarray, rest: np.ndarray, most_rounds: int) -> np.ndarray:
+    """For each node the least of its module.  Of the moves of a round, a component takes all
+    if they shorten its description together, or else the one that shortens it most."""
+    unit, p, least = np.arange(len(home)), np.bincount(src, weights=f, minlength=len(home)), f.mean() * 1e-6
+    while True:
+        n = len(home)
+        out = np.bincount(src, weights=f, minlength=n)
+        at, live, moved = np.arange(n), np.ones(len(rest), bool), False
+
+        def sums(at):
+            leaves = at[src] != at[dst]
+            big_p, q = np.bincount(at, weights=p, minlength=n), np.bincount(at[src[leaves]], weights=f[leaves], minlength=n)
+            own = np.bincount(home, weights=_bits(big_p + q) - 2 * _bits(q), minlength=len(rest))
+            all_q = np.maximum(rest, 0.0) + np.bincount(home, weights=q, minlength=len(rest))
+            return big_p, q, all_q, own + _bits(all_q)
+
+        big_p, q, all_q, length = sums(at)
+        for round_ in range(most_rounds):
+            some = live[home[src]]
+            keys, inverse = np.unique(src[some] * n + at[dst[some]], return_inverse=True)
+            u, b = np.divmod(keys, n)
+            fb, a = np.bincount(inverse, weights=f[some], minlength=len(keys)), at[u]
+            fa, own = np.zeros(n), a == b
+            fa[u[own]] = fb[own]
+            u, b, fb, a = u[~own], b[~own], fb[~own], a[~own]
+            qa, qb, whole = np.maximum(q[a] - out[u] + 2 * fa[u], 0.0), np.maximum(q[b] + out[u] - 2 * fb, 0.0), all_q[home[u]]
+            change = _bits(np.maximum(whole + qa - q[a] + qb - q[b], 0.0)) - _bits(whole) - 2 * (_bits(qa) + _bits(qb) - _bits(q[a]) - _bits(q[b]))
+            change += _bits(qa + np.maximum(big_p[a] - p[u], 0.0)) + _bits(qb + big_p[b] + p[u]) - _bits(q[a] + big_p[a]) - _bits(q[b] + big_p[b])
+            good = change < -least
+            live = np.zeros(len(rest), bool)
+            live[home[u[good]]] = True
+            if not live.any():
+                break
+            # In a round a module either gives or takes, so that no two change places.
+            good &= _gives(a, round_) & ~_gives(b, round_)
+            u, b, change = u[good], b[good], change[good]
+            order = np.lexsort((b, change, u))
+            order = order[np.diff(u[order], prepend=-1) != 0]
+            u, b, change = u[order], b[order], change[order]
+            tried = at.copy()
+            tried[u] = b
+            longer = sums(tried)[3] >= length
+            order = np.lexsort((u, change, home[u]))
+            best = np.zeros(len(u), bool)
+            best[order[np.diff(home[u[order]], prepend=-1) != 0]] = True
+            back = longer[home[u]] & ~best
+            tried[u[back]] = at[u[back]]
+            moved |= bool(len(u))
+            at = tried
+            big_p, q, all_q, length = sums(at)
+        if not moved:
+            first = np.full(n, len(unit))
+            np.minimum.at(first, unit, np.arange(len(unit)))
+            return first[unit]
+        # Modules move as wholes.
+        names, code = np.unique(at, return_inverse=True)
+        unit, home, p = code[unit], home[names], np.bincount(code, weights=p)
+        keys, inverse = np.unique(code[src] * len(names) + code[dst], return_inverse=True)
+        f = np.bincount(inverse, weights=f)
+        src, dst = np.divmod(keys, len(names))
+        apart = src != dst
+        src, dst, f = src[apart], dst[apart], f[apart]
+
+
 def description_length(nodes: DataFrame, edges: DataFrame, communities: DataFrame) -> float:
     """Bits a step that the map equation gives ``id``, ``community``."""
     w = _weights(edges)
